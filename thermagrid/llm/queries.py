@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, sharding
+from . import language, mixing, setjoin, sharding
 from .common import table
 
 SHARDS = 24
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.groups(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
@@ -63,7 +67,7 @@ from ranked
 
 
 def queries() -> dict:
-    return {"op4_mixing": op4_mixing, "op6_sharding": op6_sharding, "op8_language_id": op8_language_id}
+    return {"op1_ngram_jaccard": op1_ngram_jaccard, "op4_mixing": op4_mixing, "op6_sharding": op6_sharding, "op8_language_id": op8_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
