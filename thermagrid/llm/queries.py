@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, setjoin, sharding
+from . import language, mixing, repeats, setjoin, sharding
 from .common import table
 
 SHARDS = 24
@@ -20,6 +20,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(table(spark, sf_dir, "documents"), SHARDS)
     return rows.select(
@@ -66,9 +71,25 @@ from ranked
 """
 
 
+OP5_SQL = r"""
+with words as (
+  select doc_id, case when text is null then [] else list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') end as w
+  from documents),
+spots as (select doc_id, w, unnest(range(1, len(w) - 18)) as s from words where len(w) >= 20),
+windows as (select doc_id, s, md5(array_to_string(w[s : s + 19], ' ')) as h from spots),
+later as (
+  select doc_id, s from (select doc_id, s, row_number() over (partition by h order by doc_id, s) as k from windows) where k > 1),
+gone as (select distinct doc_id, unnest(range(s, s + 20)) as p from later),
+lost as (select doc_id, list(p) as ps, count(*) as n from gone group by doc_id)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(l.n, 0) as bigint) as n_removed,
+       sha256(array_to_string(case when l.n is null then d.w else list_filter(d.w, lambda x, i: not list_contains(l.ps, i)) end, ' ')) as kept_sha256
+from words d left join lost l using (doc_id)
+"""
+
+
 def queries() -> dict:
-    return {"op1_ngram_jaccard": op1_ngram_jaccard, "op4_mixing": op4_mixing, "op6_sharding": op6_sharding, "op8_language_id": op8_language_id}
+    return {"op1_ngram_jaccard": op1_ngram_jaccard, "op4_mixing": op4_mixing, "op5_substring_dedup": op5_substring_dedup, "op6_sharding": op6_sharding, "op8_language_id": op8_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL}
+    return {"op4_mixing": OP4_SQL, "op5_substring_dedup": OP5_SQL}
