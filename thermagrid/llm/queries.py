@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, repeats, setjoin, sharding
+from . import language, lines, mixing, repeats, setjoin, sharding
 from .common import table
 
 SHARDS = 24
@@ -15,6 +15,11 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.groups(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.deduplicate(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
@@ -46,6 +51,18 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(rows, model)
 
 
+OP3_SQL = r"""
+with lines as (
+  select doc_id, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents)),
+often as (select key, max(doc_id) as last from lines where length(key) >= 40 group by key having count(distinct doc_id) >= 5),
+judged as (select l.*, o.key is not null and l.doc_id <> o.last as gone from lines l left join often o on l.key = o.key)
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
+from judged group by doc_id
+"""
+
 OP4_SQL = r"""
 with sized as (
   select doc_id, source, cast(case when text is null or text = '' then 0 else
@@ -88,8 +105,8 @@ from words d left join lost l using (doc_id)
 
 
 def queries() -> dict:
-    return {"op1_ngram_jaccard": op1_ngram_jaccard, "op4_mixing": op4_mixing, "op5_substring_dedup": op5_substring_dedup, "op6_sharding": op6_sharding, "op8_language_id": op8_language_id}
+    return {"op1_ngram_jaccard": op1_ngram_jaccard, "op3_line_dedup": op3_line_dedup, "op4_mixing": op4_mixing, "op5_substring_dedup": op5_substring_dedup, "op6_sharding": op6_sharding, "op8_language_id": op8_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op5_substring_dedup": OP5_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op4_mixing": OP4_SQL, "op5_substring_dedup": OP5_SQL}
