@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lines, mixing, repeats, setjoin, sharding
-from .common import table
+from . import capfilters, language, lines, mixing, repeats, setjoin, sharding, warc
+from .common import scratch, table
 
 SHARDS = 24
 
@@ -15,6 +15,17 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.groups(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
+    return warc.read(spark, files).select(
+        warc.page_id("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        warc.page_id("refers_to").alias("refers_to"),
+    )
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines.deduplicate(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -104,9 +115,36 @@ from words d left join lost l using (doc_id)
 """
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capfilters.near(table(spark, sf_dir, "embeddings"))
+
+
+OP2_SQL = r"""
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as d from pages),
+k as (select d, max(page_id) as keep from p where n >= 1000 group by d)
+select page_id, cast(n as bigint) as payload_bytes, d as payload_digest,
+       case when k.keep is null or k.keep = page_id then 'response' else 'revisit' end as record_type,
+       case when k.keep <> page_id then k.keep end as refers_to
+from p left join k using (d)
+"""
+
+OP9_SQL = r"""
+with recursive v as (
+  select vec_id, label, cast(embedding as double[]) as e from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as x, b.vec_id as y from v a join v b on a.label = b.label and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.98),
+reach as (select x, y from links union select r.x, l.y from reach r join links l on r.y = l.x),
+low as (select x, least(x, min(y)) as c from reach group by x)
+select e.vec_id, cast((select count(*) from links l where l.x = e.vec_id) as bigint) as n_links,
+       coalesce(low.c, e.vec_id) as component_id, coalesce(low.c, e.vec_id) = e.vec_id as kept
+from embeddings e left join low on low.x = e.vec_id
+"""
+
+
 def queries() -> dict:
-    return {"op1_ngram_jaccard": op1_ngram_jaccard, "op3_line_dedup": op3_line_dedup, "op4_mixing": op4_mixing, "op5_substring_dedup": op5_substring_dedup, "op6_sharding": op6_sharding, "op8_language_id": op8_language_id}
+    return {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_warc": op2_warc, "op3_line_dedup": op3_line_dedup, "op4_mixing": op4_mixing, "op5_substring_dedup": op5_substring_dedup, "op6_sharding": op6_sharding, "op8_language_id": op8_language_id, "op9_embedding_dedup": op9_embedding_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op4_mixing": OP4_SQL, "op5_substring_dedup": OP5_SQL}
+    return {"op2_warc": OP2_SQL, "op9_embedding_dedup": OP9_SQL, "op3_line_dedup": OP3_SQL, "op4_mixing": OP4_SQL, "op5_substring_dedup": OP5_SQL}
