@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import capfilters, language, lines, mixing, repeats, setjoin, sharding, warc
+from . import capfilters, chat, language, lines, mixing, repeats, setjoin, sharding, warc
 from .common import scratch, table
 
 SHARDS = 24
@@ -119,6 +121,20 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capfilters.near(table(spark, sf_dir, "embeddings"))
 
 
+#: Fixed value: the conversation that the contract adds, whose texts are another template's marks.
+TRICKY = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def sha256(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = "conv_id long, turn long, role string, text string"
+    rows = table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "role", "text")
+    return chat.read_back(chat.trees(rows.union(spark.createDataFrame(TRICKY, kinds))), sha256)
+
+
 OP2_SQL = r"""
 with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as d from pages),
 k as (select d, max(page_id) as keep from p where n >= 1000 group by d)
@@ -142,9 +158,25 @@ from embeddings e left join low on low.x = e.vec_id
 """
 
 
+_ESCAPED = r"replace(coalesce(text, ''), '\', '\\')"
+for _mark in chat.CONTROL:
+    _ESCAPED = f"replace({_ESCAPED}, '{_mark}', '{_mark[0]}\\{_mark[1:]}')"
+OP10_SQL = rf"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       cast(sum({sum(map(len, (chat.BEGIN, chat.BETWEEN, chat.END))) + 1} + length(role) + length({_ESCAPED})) as bigint) as formatted_chars
+from c group by conv_id
+"""
+
+
 def queries() -> dict:
-    return {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_warc": op2_warc, "op3_line_dedup": op3_line_dedup, "op4_mixing": op4_mixing, "op5_substring_dedup": op5_substring_dedup, "op6_sharding": op6_sharding, "op8_language_id": op8_language_id, "op9_embedding_dedup": op9_embedding_dedup}
+    return {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_warc": op2_warc, "op3_line_dedup": op3_line_dedup, "op4_mixing": op4_mixing, "op5_substring_dedup": op5_substring_dedup, "op6_sharding": op6_sharding, "op8_language_id": op8_language_id, "op9_embedding_dedup": op9_embedding_dedup, "op10_chat_format": op10_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op9_embedding_dedup": OP9_SQL, "op3_line_dedup": OP3_SQL, "op4_mixing": OP4_SQL, "op5_substring_dedup": OP5_SQL}
+    return {"op10_chat_format": OP10_SQL, "op2_warc": OP2_SQL, "op9_embedding_dedup": OP9_SQL, "op3_line_dedup": OP3_SQL, "op4_mixing": OP4_SQL, "op5_substring_dedup": OP5_SQL}
