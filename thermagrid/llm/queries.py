@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import capfilters, chat, language, lines, mixing, repeats, setjoin, sharding, warc
+from . import capfilters, chat, decontam, language, lines, mixing, repeats, setjoin, sharding, warc
 from .common import scratch, table
 
 SHARDS = 24
@@ -56,6 +56,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
@@ -175,7 +179,7 @@ from c group by conv_id
 
 
 def queries() -> dict:
-    return {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_warc": op2_warc, "op3_line_dedup": op3_line_dedup, "op4_mixing": op4_mixing, "op5_substring_dedup": op5_substring_dedup, "op6_sharding": op6_sharding, "op8_language_id": op8_language_id, "op9_embedding_dedup": op9_embedding_dedup, "op10_chat_format": op10_chat_format}
+    return {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_warc": op2_warc, "op3_line_dedup": op3_line_dedup, "op4_mixing": op4_mixing, "op5_substring_dedup": op5_substring_dedup, "op6_sharding": op6_sharding, "op7_decontamination": op7_decontamination, "op8_language_id": op8_language_id, "op9_embedding_dedup": op9_embedding_dedup, "op10_chat_format": op10_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
