@@ -18,8 +18,9 @@ def targets(sources: DataFrame, most: int = MOST_COPIES) -> DataFrame:
 
     Sources in code point order, null last, weigh 1, 2, 3, repeating.  Together they share the sum of all sizes; a
     target stops at ``most`` times its source's size and the excess is shared again by weight.  The fixed point gives
-    each source min(most * size, level * weight): sources fill up in order of size / weight, and the level is that of
-    the first prefix of full ones after which the next is not full.  One row for each source, so one task is enough.
+    each source min(most * size, level * weight).  Sources fill up in order of size / weight; taking any prefix of that
+    order as full, right or wrong, gives a level no higher than the true one, which is therefore the maximum over all
+    prefixes.  One row for each source, so one task is enough.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -30,9 +31,8 @@ def targets(sources: DataFrame, most: int = MOST_COPIES) -> DataFrame:
     full = F.coalesce(F.sum("cap").over(earlier), F.lit(0.0))
     light = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(earlier), F.lit(0.0))
     level = (F.sum("source_size").over(everything) - full) / light
-    s = s.withColumn("level", level).withColumn("open", F.col("cap") / F.col("weight") >= F.col("level"))
-    s = s.withColumn("water", F.min(F.when(F.col("open"), F.col("level"))).over(everything))
-    target = F.when(F.col("water").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("water") * F.col("weight")))
+    s = s.withColumn("level", level).withColumn("water", F.max("level").over(everything))
+    target = F.least("cap", F.col("water") * F.col("weight"))
     return s.select("source", "source_size", target.alias("target"))
 
 

@@ -92,8 +92,8 @@ weighed as (
 levels as (
   select *, (sum(source_size) over () - coalesce(sum(cap) over earlier, 0)) / (sum(weight) over () - coalesce(sum(weight) over earlier, 0)) as level
   from weighed window earlier as (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding)),
-water as (select *, min(case when cap / weight >= level then level end) over () as water from levels),
-aims as (select source, source_size, case when water is null then cap else least(cap, water * weight) end as target from water),
+water as (select *, max(level) over () as water from levels),
+aims as (select source, source_size, least(cap, water * weight) as target from water),
 ranked as (
   select s.doc_id, s.size, a.source_size, a.target, row_number() over (partition by s.source order by s.size, s.doc_id) - 1 as r,
          case when a.source_size > 0 then a.target / a.source_size else 0.0 end as e,
