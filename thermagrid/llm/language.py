@@ -82,7 +82,7 @@ def _blocks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, n
         yield flush()
 
 
-def train(docs: DataFrame, orders: tuple[int, ...] = ORDERS) -> dict:
+def train(docs: DataFrame) -> dict:
     """A model from every row of docs (text, lang) with a language: {"langs": [...], "log_p": buckets x langs}.
 
     Each task adds up one count array for each language; Spark sums them by language.  What reaches the driver is one
@@ -122,8 +122,8 @@ def train(docs: DataFrame, orders: tuple[int, ...] = ORDERS) -> dict:
     return {"langs": langs, "log_p": np.log(counts / counts.sum(0)).astype(np.float32)}
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """docs (doc_id, text and any others) with lang_pred and score.
+def predict(docs: DataFrame, model: dict, keep_text: bool = False) -> DataFrame:
+    """docs (text and any others) with lang_pred and score; the text itself only if keep_text.
 
     The model is broadcast: BUCKETS numbers for each language.  score is the posterior of the language named, at equal
     priors, from the mean log-likelihood of an n-gram times min(number of n-grams, 64): longer texts say no more.
@@ -132,7 +132,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    names = docs.columns
+    names = [c for c in docs.columns if keep_text or c != "text"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, log_p = shared.value["langs"], shared.value["log_p"]
@@ -153,9 +153,9 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
             said = [langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
             sure = np.where(known, odds.max(1) / odds.sum(1), 0.0)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names if c != "text"), pa.array(said, pa.string()), pa.array(sure)],
-                [*(c for c in names if c != "text"), "lang_pred", "score"],
+                [*(batch.column(c) for c in names), pa.array(said, pa.string()), pa.array(sure)],
+                [*names, "lang_pred", "score"],
             )
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
     return docs.mapInArrow(score, f"{kept}, lang_pred string, score double")
