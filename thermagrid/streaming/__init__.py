@@ -1,0 +1 @@
+"""Empty by design: the daily products are batch jobs, restarted by an anti-join of wanted and finished days."""
