@@ -29,6 +29,28 @@ def split(routes: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
             yield route, order[bounds[route] : bounds[route + 1]]
 
 
+def shortened(hashes: np.ndarray, width: int) -> bytes:
+    """The low bytes of each hash; the route stands for the high ones."""
+    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def lengthened(raw: bytes, width: int) -> np.ndarray:
+    full = np.zeros((len(raw) // width, 8), np.uint8)
+    full[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return full.view(np.uint64).ravel()
+
+
+def narrow(values: np.ndarray) -> bytes:
+    """Integers in the narrowest of 1, 2, 4 or 8 bytes that holds them all, after one byte that tells which."""
+    most = int(np.abs(values).max()) if len(values) else 0
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w - 1))
+    return bytes([width]) + values.astype(f"<i{width}").tobytes()
+
+
+def widened(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<i{raw[0]}", offset=1).astype(np.int64)
+
+
 def batch(rows: list[tuple]) -> pa.RecordBatch:
     route, docs, gaps, data = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays(

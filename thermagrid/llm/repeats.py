@@ -15,6 +15,8 @@ from .textkit import EXACT, Spans, chunks, mix, words
 WINDOW = 20
 #: Windows that a task holds before it sends them.
 HELD = 1 << 21
+#: Bytes of a hash that travel; with the route they are 2**63 values or more.
+SENT = 7
 _BASE = np.uint64(0xD1342543DE82EF95)
 
 
@@ -93,8 +95,11 @@ def marked(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             of, starts, hashes = of[keep], starts[keep], hashes[keep]
             for route, at in blobs.split(blobs.route_of(hashes, routes), routes):
                 who, which = np.unique(of[at], return_inverse=True)
-                place = np.stack([np.diff(which, prepend=0), np.diff(starts[at], prepend=0)], 1)
-                rows.append((route, names[who].tobytes(), place.astype(np.int32).T.tobytes(), hashes[at].tobytes()))
+                step = np.diff(which, prepend=0)
+                start = starts[at]
+                start[1:] -= np.where(step[1:] == 0, start[:-1].copy(), 0)  # from the start before, in the same document
+                data = blobs.shortened(hashes[at], SENT) + blobs.narrow(start)
+                rows.append((route, names[who].tobytes(), blobs.narrow(step), data))
             return blobs.batch(rows)
 
         for b in batches:
@@ -121,10 +126,15 @@ def marked(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             else:
                 ids, starts, hashes = [], [], []
                 for who, place, data in zip(*(group.column(c).to_pylist() for c in ("docs", "gaps", "data")), strict=True):
-                    hashes.append(np.frombuffer(data, np.uint64))
-                    which, start = np.cumsum(np.frombuffer(place, np.int32).reshape(2, -1).astype(np.int64), axis=1)
-                    ids.append(np.frombuffer(who, np.int64)[which])
-                    starts.append(start)
+                    step = blobs.widened(place)
+                    hashes.append(blobs.lengthened(data[: SENT * len(step)], SENT))
+                    start = np.cumsum(blobs.widened(data[SENT * len(step) :]))
+                    # each document counts from 0 again
+                    head = np.flatnonzero(step > 0)
+                    base = np.zeros(len(step), np.int64)
+                    base[head] = np.diff(start[head - 1], prepend=0)
+                    starts.append(start - np.cumsum(base))
+                    ids.append(np.frombuffer(who, np.int64)[np.cumsum(step)])
                 ids, starts = np.concatenate(ids), np.concatenate(starts)
                 later = _later(ids, starts, np.concatenate(hashes))
                 rows = _marks(ids[later], starts[later])
