@@ -25,8 +25,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language.train(docs.select("text", "lang"))
     if not model["langs"]:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    said = language.predict(docs, model, keep_text=True)
-    return said.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    said = language.predict(docs, model, keep_text=True, named=("__lang", "__score"))
+    return said.where((F.col("__lang") != language.UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

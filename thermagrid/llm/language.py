@@ -122,8 +122,9 @@ def train(docs: DataFrame) -> dict:
     return {"langs": langs, "log_p": np.log(counts / counts.sum(0)).astype(np.float32)}
 
 
-def predict(docs: DataFrame, model: dict, keep_text: bool = False) -> DataFrame:
-    """docs (text and any others) with lang_pred and score; the text itself only if keep_text.
+def predict(docs: DataFrame, model: dict, keep_text: bool = False, named: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs (text and any others) with lang_pred and score, or as named; the text itself only if keep_text.
+    A column of docs with one of these names is replaced.
 
     The model is broadcast: BUCKETS numbers for each language.  score is the posterior of the language named, at equal
     priors, from the mean log-likelihood of an n-gram times min(number of n-grams, 64): longer texts say no more.
@@ -132,7 +133,7 @@ def predict(docs: DataFrame, model: dict, keep_text: bool = False) -> DataFrame:
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if keep_text or c != "text"]
+    names = [c for c in docs.columns if (keep_text or c != "text") and c not in named]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, log_p = shared.value["langs"], shared.value["log_p"]
@@ -154,8 +155,8 @@ def predict(docs: DataFrame, model: dict, keep_text: bool = False) -> DataFrame:
             sure = np.where(known, odds.max(1) / odds.sum(1), 0.0)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in names), pa.array(said, pa.string()), pa.array(sure)],
-                [*names, "lang_pred", "score"],
+                [*names, *named],
             )
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
-    return docs.mapInArrow(score, f"{kept}, lang_pred string, score double")
+    return docs.mapInArrow(score, ", ".join(x for x in (kept, f"`{named[0]}` string, `{named[1]}` double") if x))
