@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
@@ -119,6 +119,11 @@ def keys_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return Spans(data, FOLDED).hash(x, y), points[y] - points[x]
 
 
+def _shard_column(shards: int) -> Column:
+    """The shard of a key, from its high bits; the same as blobs.route_of."""
+    return F.shiftright(F.shiftrightunsigned("key", 32) * F.lit(shards).cast("long"), 32).cast("int")
+
+
 def _long_lines(batch: pa.RecordBatch, least: int) -> Iterator[tuple]:
     ids = batch.column("doc_id").to_pylist()
     for first, end, data, offsets in chunks(batch.column("text")):
@@ -182,7 +187,7 @@ def index(docs: DataFrame, least: int = MIN_LENGTH, min_docs: int = MIN_DOCS) ->
             )
 
     path = scratch(spark, "line-index")
-    sharded = counted.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
+    sharded = counted.withColumn("shard", _shard_column(shards))
     (
         sharded.repartition("shard").sortWithinPartitions("shard")
         .mapInArrow(build, "shard int, hash binary, fingerprints binary, counts binary, last binary").write.parquet(path)
@@ -234,13 +239,15 @@ def deduplicate(docs: DataFrame, least: int = MIN_LENGTH, min_docs: int = MIN_DO
 
             store, folder = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
             table = pq.read_table(folder, filesystem=store)
-            found = [Shard(r) for r in table.to_pylist()]
+            found = {r["shard"]: Shard(r) for r in table.to_pylist()}
             for b in batches:
                 for _, ids, data, starts, ends, at, row, keys, long in _long_lines(b, least):
                     named = np.array([-1 if i is None else i for i in ids], np.int64)
                     gone = np.zeros(len(keys), bool)
-                    for shard in found:  # a key is in one shard at most
-                        gone[long] |= shard.drops(keys[long], named[row[long]], min_docs)
+                    for shard, at_ in blobs.split(blobs.route_of(keys[long], shards), shards):
+                        if shard in found:
+                            mine = long[at_]
+                            gone[mine] = found[shard].drops(keys[mine], named[row[mine]], min_docs)
                     yield cut(ids, data, starts, ends, at, gone)
 
         return rows.mapInArrow(probe, schema)
@@ -278,7 +285,7 @@ def deduplicate(docs: DataFrame, least: int = MIN_LENGTH, min_docs: int = MIN_DO
     asked = marked.mapInArrow(ask, "key long, doc_id long, mark long, line long")
     none = [F.lit(None).cast("binary").alias(c) for c in ("hash", "fingerprints", "counts", "last")]
     salt = F.pmod(F.xxhash64("doc_id", "line"), F.lit(SALTS)).cast("int")
-    asked = asked.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), salt.alias("salt"), "key", "doc_id", "mark", "line", *none)
+    asked = asked.select(_shard_column(shards).alias("shard"), salt.alias("salt"), "key", "doc_id", "mark", "line", *none)
     filed = spark.read.parquet(path).select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), *[F.lit(None).cast("long").alias(c) for c in ("key", "doc_id", "mark", "line")], "hash", "fingerprints", "counts", "last")
     both = filed.union(asked).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("hash").isNull())
     gone = (
