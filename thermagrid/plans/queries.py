@@ -239,12 +239,12 @@ for _name, _method in (("nearest_upsample", "nearest"), ("bilinear_upsample", "b
     def _upsample(spark, sf, method=_method):
         fine, rows = _fine(spark, sf)
         # scaled so that no result lies on a rounding boundary, where the engines may differ
-        days = derived.era5(spark, sf).where("dayofmonth(d) <= 3").withColumn("t", F.col("t") * F.lit(1.0123457))
+        days = derived.era5(spark, sf).where("dayofmonth(d) <= 3").withColumn("t", F.col("t") * F.lit(1.01234571234))
         return resample.resize(days, fine, "t", (rows, 15), (2 * rows, 30), method)
 
     query(
         "select d, r, c, round(t, 6) t from (" + sql.resized("e3", "t", "fine", "(select nr from rows_)", "15", "(select 2 * nr from rows_)", "30", _method) + ")",
-        more=_GRID + ", e3 as (select d, r, c, t * 1.0123457::double t from era5 where day(d) <= 3)",
+        more=_GRID + ", e3 as (select d, r, c, t * 1.01234571234::double t from era5 where day(d) <= 3)",
         name=_name,
     )(_upsample)
 
