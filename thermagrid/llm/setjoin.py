@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .common import stored
+from .common import bounded_batches, small_side, stored
 from .components import connected
 from .textkit import mix, shingle_sets
 
@@ -40,6 +40,8 @@ HELD_DOCS = 60_000
 BLOCK = 512
 #: Candidate clusters with more documents are cut up first, by prefixes of rare shingles.
 LARGE = 4096
+#: Bits of the filter that tells which documents' sets are needed: so many for each, and at most.
+FILTER_RATIO, FILTER_BITS = 16, 1 << 25
 #: Shingles whose frequency in a sample of documents of large clusters orders the prefixes, and documents of it.
 FREQUENT, SAMPLED = 1 << 16, 20_000
 #: Bytes of a signature that travel beside its route.
@@ -221,20 +223,22 @@ def _candidates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return _met(docs.select("doc_id", "text").mapInArrow(send, blobs.ROUTED))
 
 
-def _refined(inside: DataFrame, percent: int) -> DataFrame:
-    """inside (doc_id, cluster, shingles) with its large clusters cut up, and no pair above the threshold parted.
+def _refined(members: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """members (__doc, cluster) with the large clusters cut up, and no pair above the threshold parted.
 
     Chance meetings over lines that many documents hold can chain documents into a large cluster.  Two of its sets
     that reach the threshold share a shingle among the first size - ceil(threshold * size) + 1 of each in any one
     order of all shingles (prefix filter).  The order puts those frequent in a bounded sample last, so what is met
     on is rare; the sample steers cost, never the result.
     """
-    spark = inside.sparkSession
-    sizes = inside.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE)
-    large = stored(inside.join(sizes, "cluster"), "large")
-    total = large.count()
+    spark = members.sparkSession
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE)
+    total = sizes.agg(F.sum("n")).first()[0]
     if not total:
-        return inside
+        return members
+    chosen = members.join(sizes.select("cluster"), "cluster", "left_semi").select("__doc")
+    sets = known.where("shingles is not null")
+    large = stored(sets.join(small_side(chosen), F.col("doc_id") == F.col("__doc")).select("doc_id", "shingles"), "large")
     bar = min(1.0, SAMPLED / total)
     sample = large.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(bar * (1 << 20)) + 1))
 
@@ -251,7 +255,7 @@ def _refined(inside: DataFrame, percent: int) -> DataFrame:
     keys = np.array([r["shingle"] for r in often], np.int64).view(np.uint64)
     order = np.argsort(keys)
     shared = spark.sparkContext.broadcast((keys[order], np.array([r["n"] for r in often], np.int64)[order]))
-    routes = blobs.routes_for(inside)
+    routes = blobs.routes_for(members)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, weight = shared.value
@@ -271,11 +275,11 @@ def _refined(inside: DataFrame, percent: int) -> DataFrame:
 
     edges = _met(large.select("doc_id", "shingles").mapInArrow(send, blobs.ROUTED))
     parts = connected(edges)
-    named = parts.union(parts.select("component", "component")).distinct().toDF("__doc", "part")
-    cut = large.join(named, F.col("doc_id") == F.col("__doc")).select("doc_id", F.col("part").alias("cluster"), "shingles")
-    small = inside.join(sizes.select("cluster"), "cluster", "left_anti").select("doc_id", "cluster", "shingles")
-    # cluster names are doc_ids of members, so names of cut and uncut clusters differ
-    return small.union(cut)
+    # a document that no prefix joins with another links with nothing and leaves
+    cut = parts.union(parts.select("component", "component")).distinct().toDF("__doc", "cluster")
+    small = members.join(sizes.select("cluster"), "cluster", "left_anti").select("__doc", "cluster")
+    # clusters are named by members, so names of cut and uncut ones differ
+    return stored(small.union(cut), "members")
 
 
 def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -309,6 +313,32 @@ def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
         label = low
 
 
+def _passes(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
+    slot = mix(names.astype(np.int64).view(np.uint64)) % _U(len(bits) * 8)
+    return (bits[(slot >> _U(3)).astype(np.int64)] >> (slot & _U(7)).astype(np.uint8)) & 1 == 1
+
+
+def _filter(members: DataFrame) -> np.ndarray | None:
+    """A bitmap of at most FILTER_BITS that every member passes and few others, or None for too many members."""
+    size = 1 << max(10, (FILTER_RATIO * members.count()).bit_length())
+    if size > FILTER_BITS:
+        return None
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, bool)
+        for b in batches:
+            bits[(mix(b.column(0).to_numpy().view(np.uint64)) % _U(size)).astype(np.int64)] = True
+        words = np.packbits(bits, bitorder="little").view(np.int64)
+        full = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(words[full])], ["word", "bits"])
+
+    out = np.zeros(size // 64, np.int64)
+    marks = members.select("__doc").mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    for r in marks.collect():  # at most FILTER_BITS / 64 rows
+        out[r["word"]] = r["bits"]
+    return out.view(np.uint8)
+
+
 def groups(docs: DataFrame, words: int = 5, percent: int = 80, sizes: bool = True) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text).
 
@@ -322,32 +352,45 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80, sizes: bool = Tru
     rows that share a doc_id are one node.  Other columns are ignored.  No rows: no rows.  With sizes False, rows
     outside any candidate cluster are left out.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     clusters = connected(_candidates(docs, words, percent))
-    members = clusters.union(clusters.select("component", "component")).distinct().toDF("__doc", "cluster")
-    marked = docs.join(members, F.col("doc_id") == F.col("__doc"), "left" if sizes else "inner").select("doc_id", "text", "cluster")
+    members = stored(clusters.union(clusters.select("component", "component")).distinct().toDF("__doc", "cluster"), "members")
+    bits = _filter(members)
+    if bits is None:  # too many for a bounded filter: the texts are joined with them
+        marked = docs.join(members.select("__doc"), F.col("doc_id") == F.col("__doc"), "left")
+    else:
+        marked = docs.withColumn("__doc", F.col("doc_id"))
+        bits = docs.sparkSession.sparkContext.broadcast(bits)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            inside = b.column("cluster").is_valid().to_pylist()
+            inside = b.column("__doc").is_valid().to_numpy(zero_copy_only=False)
+            if bits is not None:
+                names = b.column("doc_id").fill_null(0).to_numpy()
+                inside &= _passes(bits.value, names)
+            if not sizes:
+                b, inside = b.filter(pa.array(inside)), np.ones(int(inside.sum()), bool)
             counts, packed, pending = [], [], 0
             start = 0
             for row, found in shingle_sets(b.column("text"), words):
                 counts.append(len(found))
                 packed.append(found.tobytes() if inside[row] and len(found) else None)
-                pending += len(found) * inside[row]
+                pending += len(found) * int(inside[row])
                 if pending > 1 << 20 or row == b.num_rows - 1:
                     yield pa.RecordBatch.from_arrays(
-                        [b.column("doc_id").slice(start, row + 1 - start), b.column("cluster").slice(start, row + 1 - start), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())],
-                        ["doc_id", "cluster", "n_shingles", "shingles"],
+                        [b.column("doc_id").slice(start, row + 1 - start), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())],
+                        ["doc_id", "n_shingles", "shingles"],
                     )
                     start, counts, packed, pending = row + 1, [], [], 0
 
-    known = stored(marked.mapInArrow(collect, "doc_id long, cluster long, n_shingles long, shingles binary"), "shingles")
-    inside = known.where("shingles is not null").select("doc_id", "cluster", "shingles")
-    inside = _refined(inside, percent)
-    sized = inside.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    cut = inside.join(sized, "cluster").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    known = stored(marked.select("doc_id", "__doc", "text").mapInArrow(collect, "doc_id long, n_shingles long, shingles binary"), "shingles")
+    # only narrow rows meet to be counted; the sets move once, to their block, unless there are too many of them
+    members = _refined(members, known, percent)
+    sized = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    placed = small_side(members.join(sized, "cluster"))
+    cut = known.where("shingles is not null").join(placed, F.col("doc_id") == F.col("__doc"))
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     cut = cut.select("doc_id", "cluster", "shingles", "part", other)
     cut = cut.select("doc_id", "cluster", "shingles", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
@@ -371,4 +414,5 @@ def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     """docs without the rows whose doc_id isn't the smallest of its group; one row stays where a doc_id repeats within
     equal texts is not decided here.  Rows without a doc_id stay."""
     found = groups(docs, words, percent, sizes=False).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    found = small_side(found)
     return docs.join(found, docs["doc_id"] == F.col("__gone"), "left_anti")
