@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermagrid.llm import decontam, language, mixing, setjoin, sharding
-from thermagrid.llm.common import scratch, table, word_count
+from thermagrid.llm.common import scratch, small_side, table, word_count
 
 #: Posterior below which a language is not accepted.
 LEAST_SCORE = 0.5
@@ -37,7 +37,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which a benchmark item is found."""
     found = decontam.matches(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("__doc"), "left_anti")
+    return docs.join(small_side(found), F.col("doc_id") == F.col("__doc"), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .common import stored
+from .common import bounded_batches, stored
 from .components import connected
 
 COSINE = 0.98
@@ -68,6 +68,7 @@ def near(vectors: DataFrame, cosine: float = COSINE, code: dict | None = None) -
     vectors of different lengths with each other.  A null vec_id gives a row without links.  Rows that repeat a vec_id
     each give a row; they are one node with the links of all.  Other columns are ignored.  No rows: no rows.
     """
+    bounded_batches(vectors.sparkSession)
     code = code or {}
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), "label")
     usable = (

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bounded_batches, stored
 
 #: The marks of the template, and the strings that common chat templates give a meaning.
 BEGIN, BETWEEN, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
@@ -97,6 +97,7 @@ def trees(conversations: DataFrame, most: int = TREE_CONVERSATIONS, characters:
     Null role or text: empty.  Repeated rows: repeated turns.  Empty and very long texts need no exception.  Other
     columns are ignored.  No rows: no rows.
     """
+    bounded_batches(conversations.sparkSession)
     ready = stored(paths(conversations), "paths")
     sorted_ = ready.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
 

@@ -23,6 +23,16 @@ def byte_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+#: Rows and bytes of one Arrow batch: what a Python worker and its JVM hold at once.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small in this session, however long its texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one beside the warehouse where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -57,6 +67,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a narrow table up to which it is broadcast: a few dozen MB.
+SMALL_ROWS = 1 << 20
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """df, written, with a broadcast hint if it has at most SMALL_ROWS rows; else Spark joins it by shuffle.
+
+    For a few narrow columns that meet a table of texts or sets, which then need not move."""
+    kept = stored(df, "side")
+    return F.broadcast(kept) if kept.count() <= SMALL_ROWS else kept
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[str], rank: str = "rank") -> DataFrame:
     """df with a column of gapless ranks from 0 within each key, ordered by order; a key may hold any share of the rows.
 

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .textkit import FOLDED, Spans, chunks, words
 
 #: Words of a block; a passage is SPAN consecutive blocks and starts at every block.
@@ -184,6 +185,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     repeat match each; equal items all match.  A null doc_id is carried along.  Other columns are ignored.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").collect()
     kinds = "doc_id long, item_id long, cosine double, common double, answer double"

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Orders of the n-grams, number of hash buckets and additive smoothing.
 ORDERS = (2, 3)
 BUCKETS = 1 << 15
@@ -110,6 +112,7 @@ def train(docs: DataFrame) -> dict:
         total = sum(np.frombuffer(x, np.int64) for x in group.column("counts").to_pylist())
         return pa.table({"lang": [key[0].as_py()], "counts": [total.tobytes()]})
 
+    bounded_batches(docs.sparkSession)
     used = docs.select("text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     parts = used.mapInArrow(count, "lang string, counts binary")
     # few rows of one fixed size for each task and language: one more level keeps a language's sum from one task
@@ -132,6 +135,7 @@ def predict(docs: DataFrame, model: dict, keep_text: bool = False, named: tuple[
     need no exception: a long one is scored block by block.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     names = [c for c in docs.columns if (keep_text or c != "text") and c not in named]
 

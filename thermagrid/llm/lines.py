@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .common import drop, scratch
+from .common import bounded_batches, drop, scratch
 from .textkit import FOLDED, IS_SPACE, Spans, chunks, mix
 
 MIN_LENGTH = 40
@@ -212,6 +212,7 @@ def deduplicate(docs: DataFrame, least: int = MIN_LENGTH, min_docs: int = MIN_DO
     probes, drop clean lines.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     path, shards, size = index(docs, least, min_docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
+from .common import bounded_batches
 from .textkit import EXACT, Spans, chunks, mix, words
 
 WINDOW = 20
@@ -159,6 +160,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     or lose them alike where their texts are equal, so of exact repeats of a row with its doc_id nothing more is lost.
     Other columns are ignored.  No rows: no rows.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marks = marked(docs, window).groupBy("doc_id").agg(F.collect_list("starts").alias("starts")).withColumnRenamed("doc_id", "__doc")
     joined = docs.join(marks, F.col("doc_id") == F.col("__doc"), "left").select("doc_id", "text", "starts")

@@ -12,6 +12,8 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Payloads of at least this many bytes are stored once.
 REVISIT_BYTES = 1000
 #: Bytes of an archive that one reading task owns.
@@ -98,6 +100,7 @@ def write(pages: DataFrame, folder: str, least: int = REVISIT_BYTES) -> list[tup
         else:
             store.delete_file(draft)
 
+    bounded_batches(pages.sparkSession)
     rows = planned(pages, least).select("page_id", "url", "payload", "digest", "keeper").mapInArrow(save, "name string, bytes long").collect()
     return sorted((f"{folder}/{r['name']}", r["bytes"]) for r in rows)
 
