@@ -7,6 +7,7 @@ subsequence of words and a check of the item's answer decide.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,17 +22,17 @@ from .textkit import FOLDED, Spans, chunks, words
 #: Words of a block; a passage is SPAN consecutive blocks and starts at every block.
 STEP, SPAN = 16, 3
 #: Words in a larger share of documents carry no weight, unless an item has fewer than LEAST others.
-COMMON, LEAST = 0.2, 4
+COMMON, LEAST = 0.05, 4
 #: Dimensions of the latent space, and more that the sketch has.
-RANK, EXTRA = 192, 16
-#: Times that a benchmark item weighs as much as a passage in the decomposition.
-ITEM_WEIGHT = 32.0
+RANK, EXTRA = 208, 8
+#: Weight of a benchmark item in the decomposition, relative to all passages together.
+ITEM_WEIGHT = 1.0
 #: Cosine that makes a candidate; share of an item's words in common order that decides, alone or with the answer.
 COSINE, SURE, LIKELY, ANSWER = 0.35, 0.7, 0.5, 0.6
 #: Words of an item's end that are its answer.
 ANSWER_WORDS = 8
-#: Items that are searched for at once.
-ITEMS = 4096
+#: Items that are searched for at once; the space must have a dimension for each.
+ITEMS = RANK
 
 
 def lcs(a: list[int], b: list[int]) -> int:
@@ -161,7 +162,9 @@ def _space(docs: DataFrame, items: Items) -> np.ndarray:
     total = np.zeros((v, width))
     for r in some.collect():  # 8 arrays of a fixed size
         total += np.frombuffer(r["part"], np.float64).reshape(v, width)
-    known = items.vectors().astype(np.float64) * ITEM_WEIGHT
+    # each item weighs ITEM_WEIGHT times as much as all passages together, so the space keeps the items apart
+    mass = max(1.0, float(np.einsum("ij,ij->", omega, total)) / width)
+    known = items.vectors().astype(np.float64) * math.sqrt(ITEM_WEIGHT * mass)
     total += known.T @ (known @ omega)
     shift = 1e-8 * max(1.0, np.linalg.norm(total))
     total += shift * omega
