@@ -239,7 +239,7 @@ for _name, _method in (("nearest_upsample", "nearest"), ("bilinear_upsample", "b
     def _upsample(spark, sf, method=_method):
         fine, rows = _fine(spark, sf)
         # scaled so that no result lies on a rounding boundary, where the engines may differ
-        days = derived.era5(spark, sf).where("dayofmonth(d) <= 3").withColumn("t", F.col("t") * F.lit(1.01234571234))
+        days = derived.era5(spark, sf).withColumn("t", F.col("t") * F.lit(1.01234571234))
         return resample.resize(days, fine, "t", (rows, 15), (2 * rows, 30), method)
 
     query(
@@ -254,7 +254,7 @@ for _name, _method in (("nearest_upsample", "nearest"), ("bilinear_upsample", "b
        from era5 m join pmw p on p.d = m.d where day(m.d) <= 4 group by m.d, m.r, m.c"""
 )
 def nearest_valid_fill(spark, sf):
-    grid = derived.era5(spark, sf).where("dayofmonth(d) <= 4").join(derived.pmw(spark, sf), ["d", "r", "c"], "left").select("d", "r", "c", "lst")
+    grid = derived.era5(spark, sf).join(derived.pmw(spark, sf), ["d", "r", "c"], "left").select("d", "r", "c", "lst")
     return resample.nearest_filled(grid, "lst", reach=16)
 
 
@@ -300,11 +300,11 @@ def hammer_forward(spark, sf):
         join era5 e on e.r = f.sr and e.c = f.sc where e.d = date '2024-01-05'"""
 )
 def hammer_gather(spark, sf):
-    """Nearest-neighbour regrid: each output cell's source cell is computed and joined; beyond the edge, the last one."""
+    """Nearest-neighbour regrid of every day: each output cell's source cell is computed and joined; beyond the edge, the last one."""
     x, y = projections.hammer_forward(F.col("c") * 24.0, (F.col("r") % 17 - 8) * 10.0)
     cells = derived.static(spark, sf).select("r", "c", projections.grid_index(x, -18e6, 2.4e6, 15).alias("sc"), projections.grid_index(-y, -9e6, 1.8e6, 10).alias("sr"))
-    source = derived.era5(spark, sf).where("d = date'2024-01-05'").select(F.col("r").alias("sr"), F.col("c").alias("sc"), "t")
-    return cells.join(source, ["sr", "sc"]).select("r", "c", "t")
+    source = derived.era5(spark, sf).select("d", F.col("r").alias("sr"), F.col("c").alias("sc"), "t")
+    return cells.join(source, ["sr", "sc"]).select("d", "r", "c", "t")
 
 
 _EASE = "(6371228.0::double * cos(radians(30.0::double)))"
@@ -491,7 +491,7 @@ fit as (select d, a, b, my - a * m1 - b * m2 k from pl)"""
 
 @query("select d, round(a, 6) a, round(b, 6) b, round(k, 6) k from fit", more=f"{_SAMPLES}, {_PLANE}")
 def ols_plane(spark, sf):
-    return downscale.plane(derived.era5(spark, sf).where("dayofmonth(d) <= 3").withColumnRenamed("t", "lst").join(derived.static(spark, sf), ["r", "c"]))
+    return downscale.plane(derived.era5(spark, sf).withColumnRenamed("t", "lst").join(derived.static(spark, sf), ["r", "c"]))
 
 
 @query(
@@ -507,7 +507,7 @@ def ols_downscale(spark, sf):
     own = static.select(F.col("r").alias("sr"), F.col("c").alias("sc"), "ndvi", "dem")
     finer = fine.withColumn("sr", F.expr("r div 2").cast("int")).withColumn("sc", F.expr("c div 2").cast("int")).join(own, ["sr", "sc"])
     finer = finer.select("r", "c", (F.col("ndvi") + 0.01 * (F.col("c") % 2)).alias("ndvi"), (F.col("dem") + 10 * (F.col("r") % 2)).alias("dem"))
-    coarse = derived.era5(spark, sf).where("dayofmonth(d) <= 3").withColumnRenamed("t", "lst")
+    coarse = derived.era5(spark, sf).withColumnRenamed("t", "lst")
     return downscale.downscaled(coarse, static, finer, (rows, 15), (2 * rows, 30))
 
 
