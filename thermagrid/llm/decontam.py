@@ -1,8 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 TF-IDF passages of all documents, over the words of the benchmark, and the benchmark's items give a latent space by a
-distributed randomised SVD.  Passages whose cosine with an item reaches a bar are candidates; a longest common
-subsequence of words and a check of the item's answer decide.
+distributed randomised SVD.  Passages whose cosine with an item reaches a bar are candidates, and so are all that hold
+enough of an item's words, common ones too, for the decision to be possible; a longest common subsequence of words and a
+check of the item's answer decide.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from .textkit import FOLDED, Spans, chunks, words
 
 #: Words of a block; a passage is SPAN consecutive blocks and starts at every block.
 STEP, SPAN = 16, 3
-#: Words in a larger share of documents carry no weight, unless an item has fewer than LEAST others.
+#: Words in a larger share of documents carry no weight in the latent space, unless an item has fewer than LEAST others.
 COMMON, LEAST = 0.05, 4
 #: Dimensions of the latent space, and more that the sketch has.
 RANK, EXTRA = 208, 8
@@ -66,6 +67,14 @@ class Items:
         out *= self.idf.astype(np.float32)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Items by length, and how often each of them has each word (words x items) in the least type that holds a length."""
+        order = np.argsort([len(t) for t in self.texts], kind="stable")
+        out = np.zeros((len(self.vocabulary), len(order)), np.min_scalar_type(len(self.texts[order[-1]])))
+        for k, i in enumerate(order):
+            np.add.at(out[:, k], np.searchsorted(self.vocabulary, self.texts[i]), 1)
+        return order, out
+
 
 def _hashed(batch: pa.RecordBatch, vocabulary: np.ndarray) -> Iterator[tuple]:
     """(first row, rows, word hashes, index of each word in the vocabulary or -1, first word of each row)."""
@@ -120,6 +129,63 @@ def _passages(rows: int, index: np.ndarray, at: np.ndarray, idf: np.ndarray) ->
     return block, index[held], row, start
 
 
+def _text(item: int, start: int, first: int, end: int) -> tuple[int, int]:
+    """Words of a row (first to end) that an item of so many words is compared with for the passage at start."""
+    low = max(first, start - STEP)
+    return low, min(end, max(start + STEP * (SPAN + 1), low + 2 * STEP + item + item // 4))
+
+
+def _holding(row: np.ndarray, index: np.ndarray, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(block of a passage, column of counts) of all passages whose compared text can have LIKELY of the item's words in common
+    order: the item's words that occur in it at all, each as often as in the item, are that many.
+
+    The bound loses nothing that the decision would accept.  A word counts once in a window of blocks: where it is at
+    least as many blocks behind its last occurrence as the window's part before it is long.  No sum is above an item's
+    length, so none leaves the type of counts for good.  Columns are by length, so those of one width lie together."""
+    n = len(row)
+    sizes = counts.sum(axis=0, dtype=np.int64)
+    least = np.ceil(LIKELY * sizes - 1e-9).astype(counts.dtype)
+    # one block before the passage, and the blocks from its start to the farthest end that _text gives
+    widths = 1 - -np.maximum(STEP * (SPAN + 1), 2 * STEP + sizes + sizes // 4) // STEP
+    held = np.flatnonzero(index >= 0)
+    if not len(held):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    of_row = np.searchsorted(at, held, "right") - 1
+    blocks = -(-np.diff(at) // STEP)
+    first = np.cumsum(blocks) - blocks
+    word, block = np.divmod(np.unique(index[held] * n + first[of_row] + (held - at[of_row]) // STEP), n)
+    gap = np.full(len(word), n)
+    again = np.flatnonzero((word[1:] == word[:-1]) & (row[block[1:]] == row[block[:-1]])) + 1
+    gap[again] = block[again] - block[again - 1]
+    order = np.argsort(block, kind="stable")
+    word, block, gap = word[order], block[order], gap[order]
+
+    def add(to: np.ndarray, word: np.ndarray, block: np.ndarray, how: np.ufunc) -> None:
+        cuts = np.searchsorted(block, np.arange(0, n + 4096, 4096))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a < b:
+                edge = np.flatnonzero(np.diff(block[a:b], prepend=-1))
+                at = block[a:b][edge]
+                to[at] = how(to[at], np.add.reduceat(counts[word[a:b]], edge, axis=0, dtype=counts.dtype))
+
+    new, total = np.zeros((n, len(sizes)), counts.dtype), np.zeros((n, len(sizes)), counts.dtype)
+    add(new, word, block, np.add)
+    found = []
+    for k in range(int(widths.max())):
+        if k and (near := gap == k).any():
+            add(new, word[near], block[near], np.subtract)
+        if k < n:
+            total[: n - k] += new[k:] * (row[k:] == row[: n - k])[:, None]
+        u, v = np.searchsorted(widths, (k + 1, k + 2))
+        if u < v:
+            b, i = np.divmod(np.flatnonzero(total[:, u:v] >= least[u:v]), v - u)
+            found.append((b, i + u))
+    b, i = (np.concatenate(x) for x in zip(*found, strict=True))
+    inner = np.append(row[1:] == row[:-1], False)[b]
+    head = np.insert(row[1:] != row[:-1], 0, True)[b]
+    return np.append(b[inner] + 1, b[head]), np.append(i[inner], i[head])
+
+
 def _space(docs: DataFrame, items: Items) -> np.ndarray:
     """Right singular vectors (words x RANK) of TF-IDF passages and items: B = A'(A W) for a random W, summed over all
     tasks, then the Nystroem form of A'A; the driver sees one words x (RANK + EXTRA) array."""
@@ -180,8 +246,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     docs (doc_id, text) against benchmark (item_id, text), whose items are a query set that the driver holds, in blocks
     of ITEMS.  Words fold A-Z.  Document frequencies, passages and the decomposition cover all documents.  A passage of
-    STEP * SPAN words that reaches COSINE with an item in the latent space is compared, with a block more on both
-    sides, by longest common subsequence: ``common`` is its share of the item's words, ``answer`` that of the item's
+    STEP * SPAN words that reaches COSINE with an item in the latent space, or has enough of its words to be accepted at
+    all, is compared, with a block more on both sides, by longest common subsequence: ``common`` is its share of the item's words, ``answer`` that of the item's
     last ANSWER_WORDS words.  The item is found where common >= SURE, or common >= LIKELY and answer >= ANSWER.
 
     An item with null item_id, null or empty text, and a document with null or empty text, match nothing.  Rows that
@@ -217,10 +283,10 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _search(docs: DataFrame, items: Items, space: np.ndarray, kinds: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((items, space, items.vectors() @ space))
+    shared = docs.sparkSession.sparkContext.broadcast((items, space, items.vectors() @ space, items.counts()))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, space, aims = shared.value
+        items, space, aims, (by_length, counts) = shared.value
         idf = items.idf.astype(np.float32)
         weighted = space * idf[:, None]
         sequences = [t.tolist() for t in items.texts]
@@ -229,32 +295,40 @@ def _search(docs: DataFrame, items: Items, space: np.ndarray, kinds: str) -> Dat
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
             for first, rows, h, index, at in _hashed(b, items.vocabulary):
                 block, word, row, start = _passages(rows, index, at, items.idf)
-                if not len(block):
+                if not len(row):
+                    continue
+                holder, held = _holding(row, index, at, counts)
+                held = by_length[held]
+                if not len(block) and not len(holder):
                     continue
+                order = np.argsort(holder, kind="stable")
+                holder, held = holder[order], held[order]
                 sums = np.zeros((len(row) + SPAN - 1, space.shape[1]), np.float32)
                 # a passage's squared norm counts a word of two of its blocks twice; that only lowers its cosine's bar
                 norm = np.zeros(len(row) + SPAN - 1, np.float32)
                 edge = np.flatnonzero(np.diff(block, prepend=-1))
-                sums[block[edge]] = np.add.reduceat(weighted[word], edge, axis=0)
+                if len(block):
+                    sums[block[edge]] = np.add.reduceat(weighted[word], edge, axis=0)
                 norm[: len(row)] = np.bincount(block, weights=idf[word] ** 2, minlength=len(row))
                 whole, squares = sums[: len(row)].copy(), norm[: len(row)].copy()
                 for k in range(1, SPAN):
                     same = np.append(row[k:], np.full(k, -1))[: len(row)] == row
                     whole += np.where(same[:, None], sums[k : k + len(row)], 0)
                     squares += np.where(same, norm[k : k + len(row)], 0)
-                busy = np.flatnonzero(squares > 0)
+                busy = np.union1d(np.flatnonzero(squares > 0), holder)
                 for a in range(0, len(busy), 4096):
                     some = busy[a : a + 4096]
-                    cosine = (whole[some] @ aims.T) / np.sqrt(squares[some])[:, None]
-                    for p, i in zip(*np.nonzero(cosine >= COSINE), strict=True):
+                    cosine = (whole[some] @ aims.T) / np.sqrt(np.maximum(squares[some], 1e-12))[:, None]
+                    near = cosine >= COSINE
+                    u, v = np.searchsorted(holder, (some[0], some[-1] + 1))
+                    near[np.searchsorted(some, holder[u:v]), held[u:v]] = True
+                    for p, i in zip(*np.nonzero(near), strict=True):
                         at_ = some[p]
                         key = (first + int(row[at_]), int(i))
                         if best.get(key, (0, 0, 0))[1] >= 1:
                             continue
-                        low = max(int(at[row[at_]]), int(start[at_]) - STEP)
-                        high = min(int(at[row[at_] + 1]), int(start[at_]) + STEP * (SPAN + 1))
                         item = sequences[i]
-                        high = min(int(at[row[at_] + 1]), max(high, low + 2 * STEP + len(item) + len(item) // 4))
+                        low, high = _text(len(item), int(start[at_]), int(at[row[at_]]), int(at[row[at_] + 1]))
                         text = h[low:high].tolist()
                         common = lcs(item, text) / len(item)
                         if common < LIKELY:
