@@ -24,6 +24,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 _MAGIC = b"\x1f\x8b\x08"
 _BLOCK = 1 << 18
+#: Bytes inflated at once before the header is whole.
 _HEADER = 1 << 16
 RECORDS = "record_id string, record_type string, refers_to string, target string, payload_digest string, payload_bytes long, payload binary"
 
@@ -135,9 +136,10 @@ def _headers(raw: bytes) -> tuple[dict[str, str], int] | None:
 def _member(window: _Window) -> tuple[dict[str, str], bytes, int] | None:
     """(headers, block, compressed bytes) of the gzip member at the window's start, if it is a WARC record.
 
-    What only looks like a member is given up as soon as its bytes don't inflate to a WARC header."""
+    What only looks like a member is given up as soon as its bytes don't inflate to the start of a WARC header.  The header
+    may be of any length, as it has the whole URL; only the member's end bounds it."""
     inflate, out, used, head = zlib.decompressobj(31), [], 0, None
-    size = 0
+    start = tail = b""
     while True:
         fresh = window.held[used:]
         if not fresh:
@@ -148,13 +150,16 @@ def _member(window: _Window) -> tuple[dict[str, str], bytes, int] | None:
             piece = inflate.decompress(fresh, _HEADER if head is None else _BLOCK * 16)
         except zlib.error:
             return None
-        used += len(fresh) - len(inflate.unconsumed_tail) - len(inflate.unused_data)
+        # at the end, what is left may be in both
+        used += len(fresh) - len(inflate.unused_data if inflate.eof else inflate.unconsumed_tail)
         out.append(piece)
-        size += len(piece)
         if head is None:
-            start = b"".join(out)
-            head = _headers(start)
-            if head is None and (size >= _HEADER or inflate.eof or not b"WARC/".startswith(start[:5])):
+            start, tail = (start + piece)[:5], tail[-3:] + piece
+            if b"\r\n\r\n" in tail:
+                head = _headers(b"".join(out))
+                if head is None:
+                    return None
+            elif inflate.eof or not b"WARC/".startswith(start):
                 return None
         if inflate.eof:
             raw = b"".join(out)
