@@ -72,3 +72,17 @@ def imputed(pixels: DataFrame, features: list[str], least: int = 0, **how) -> Da
         done = done.select("d", "r", "c", filled.alias("lst"), "predicted")
         out = done if out is None else out.unionByName(done)
     return out
+
+
+def fused(pixels: DataFrame, features: list[str], **how) -> DataFrame:
+    """pixels (d, r, c, virr, pmw, ndvi, dem, roi, w) of either sensor as (d, r, c, lst): the cloud-free thermal value, or
+    else the model's with its clamped residual, 0 without a thermal value, kept in range.
+
+    Trained on in-range pairs in the ROI that have a weight; a pixel that lacks a feature has no prediction."""
+    from ..functions.radiometry import clamped, cloud_free, within
+
+    train = pixels.where(is_training() & (F.col("roi") == 1) & within(F.col("virr"), "model") & F.col("w").isNotNull())
+    done = predicted(fitted(train, features, "virr", weight="w", **how), pixels, features)
+    clear = cloud_free(F.col("virr"), F.col("pmw"), F.col("dem"), F.col("ndvi"))
+    whole = F.col("predicted") + clamped(clear - F.col("predicted"))
+    return done.select("d", "r", "c", F.coalesce(clear, F.when(within(whole, "fused"), whole)).alias("lst"))

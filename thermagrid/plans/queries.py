@@ -526,13 +526,7 @@ def gbt_impute(spark, sf):
 @query()
 def gbt_fusion(spark, sf):
     """Thermal infrared from microwave, vegetation and elevation with confidence weights, its clamped residual added,
-    kept in range, and used where the cloud-free thermal value is missing."""
-    weight = radiometry.confidence(F.col("virr"), F.col("t"))
-    rows = _pairs(spark, sf).withColumn("w", weight)
-    features = ["pmw", "ndvi", "dem"]
-    train = rows.where(models.is_training() & (F.col("roi") == 1) & radiometry.within(F.col("virr"), "model"))
-    model = models.fitted(train, features, "virr", weight="w", maxIter=5, maxDepth=4)
-    done = models.predicted(model, rows, features)
-    clear = radiometry.cloud_free(F.col("virr"), F.col("pmw"), F.col("dem"), F.col("ndvi"))
-    xgb = F.col("predicted") + radiometry.clamped(clear - F.col("predicted"))
-    return done.select("d", "r", "c", F.coalesce(clear, F.when(radiometry.within(xgb, "fused"), xgb)).alias("lst"))
+    kept in range, and used where the cloud-free thermal value is missing; for all pixels of either sensor."""
+    v, p = derived.virr(spark, sf).withColumnRenamed("lst", "virr"), derived.pmw(spark, sf).withColumnRenamed("lst", "pmw")
+    rows = joins.registered(v, p, how="full").join(derived.static(spark, sf), ["r", "c"], "left").join(derived.era5(spark, sf), ["d", "r", "c"], "left")
+    return models.fused(rows.withColumn("w", radiometry.confidence(F.col("virr"), F.col("t"))), ["pmw", "ndvi", "dem"], maxIter=5, maxDepth=4)
