@@ -32,3 +32,28 @@ def test_fusion_query_has_every_pixel_of_either_sensor(spark, monkeypatch):
     keys = {tuple(r)[:3] for layer in (derived.virr, derived.pmw) for r in layer(spark, sf).select("d", "r", "c").collect()}
     got = [tuple(r)[:3] for r in queries.QUERIES["gbt_fusion"](spark, sf).collect()]
     assert set(got) == keys and len(got) == len(keys)
+
+
+def test_model_queries_search_as_the_reference_does(spark, monkeypatch):
+    from thermagrid.plans import queries
+
+    fitted, asked = models.fitted, []
+
+    def small(rows, features, label, weight=None, **how):
+        asked.append(how)
+        return fitted(rows, features, label, weight, maxIter=1, maxDepth=1)
+
+    monkeypatch.setattr(models, "fitted", small)
+    queries.QUERIES["gbt_impute"](spark, "/root/testdata/sf0.001")
+    assert asked and all(how == {"space": models.IMPUTE_SPACE, "tries": 25, "folds": 5, "metric": "r2"} for how in asked)
+    asked.clear()
+    queries.QUERIES["gbt_fusion"](spark, "/root/testdata/sf0.001")
+    assert asked == [{"space": models.FUSION_SPACE, "tries": 20, "folds": 3, "metric": "rmse"}]
+
+
+def test_random_search_returns_one_of_its_draws(spark):
+    rows = spark.createDataFrame([(float(k % 7), float(k % 7) * 2, 1.0) for k in range(40)], "x double, y double, w double")
+    space = {"maxIter": (2, 4), "maxDepth": (1, 3)}
+    model = models.fitted(rows, ["x"], "y", weight="w", space=space, tries=2, folds=2, metric="rmse")
+    drawn = [{p.name: v for p, v in d.items()} for d in models.draws(model, space, 2)]
+    assert {k: model.getOrDefault(k) for k in space} in drawn

@@ -520,7 +520,7 @@ def train_split(spark, sf):
 def gbt_impute(spark, sf):
     """Missing microwave pixels from the reanalysis and static layers, by dekad."""
     rows = derived.era5(spark, sf).join(derived.pmw(spark, sf), ["d", "r", "c"], "left").join(derived.static(spark, sf), ["r", "c"])
-    return models.imputed(rows, ["t", "ndvi", "dem"], least=LEAST, maxIter=5, maxDepth=4)
+    return models.imputed(rows, ["t", "ndvi", "dem"], least=LEAST, space=models.IMPUTE_SPACE, tries=25, folds=5, metric="r2")
 
 
 @query()
@@ -529,4 +529,4 @@ def gbt_fusion(spark, sf):
     kept in range, and used where the cloud-free thermal value is missing; for all pixels of either sensor."""
     v, p = derived.virr(spark, sf).withColumnRenamed("lst", "virr"), derived.pmw(spark, sf).withColumnRenamed("lst", "pmw")
     rows = joins.registered(v, p, how="full").join(derived.static(spark, sf), ["r", "c"], "left").join(derived.era5(spark, sf), ["d", "r", "c"], "left")
-    return models.fused(rows.withColumn("w", radiometry.confidence(F.col("virr"), F.col("t"))), ["pmw", "ndvi", "dem"], maxIter=5, maxDepth=4)
+    return models.fused(rows.withColumn("w", radiometry.confidence(F.col("virr"), F.col("t"))), ["pmw", "ndvi", "dem"], space=models.FUSION_SPACE, tries=20, folds=3, metric="rmse")
