@@ -255,7 +255,8 @@ for _name, _method in (("nearest_upsample", "nearest"), ("bilinear_upsample", "b
 )
 def nearest_valid_fill(spark, sf):
     grid = derived.era5(spark, sf).join(derived.pmw(spark, sf), ["d", "r", "c"], "left").select("d", "r", "c", "lst")
-    return resample.nearest_filled(grid, "lst", reach=16)
+    at = grids.extent(grid).first()
+    return resample.nearest_filled(grid, "lst", reach=max(at.max_r - at.min_r, at.max_c - at.min_c) + 1)
 
 
 @query("select min(r) min_r, max(r) max_r, min(c) min_c, max(c) max_c from scene")
