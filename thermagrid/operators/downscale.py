@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .resample import resize
+from .resample import area_average, nearest_filled, resize
 
 
 def plane(samples: DataFrame, y: str = "lst", x1: str = "ndvi", x2: str = "dem") -> DataFrame:
@@ -33,3 +33,16 @@ def downscaled(coarse: DataFrame, coarse_static: DataFrame, fine_static: DataFra
     residual = samples.join(fit, "d").select("d", "r", "c", (F.col("lst") - trend).alias("residual"))
     spread = resize(residual, fine_static, "residual", low, high, method)
     return spread.join(fine_static, ["r", "c"]).join(fit, "d").select("d", "r", "c", (trend + F.col("residual")).alias("lst"))
+
+
+def filled_downscaled(coarse: DataFrame, fine_static: DataFrame, low: tuple[int, int], ratio: int, method: str = "cubic") -> DataFrame:
+    """downscaled() of a grid with holes: coarse (d, r, c, lst, NULL in holes) and the static layers are filled from the
+    nearest cell, the layers averaged to the coarse grid, and only fine cells kept whose coarse cell and elevation were there."""
+    high = (low[0] * ratio, low[1] * ratio)
+    full = nearest_filled(coarse, "lst", reach=max(low))
+    layers = [nearest_filled(fine_static.select("r", "c", x), x, reach=max(high), keys=()) for x in ("ndvi", "dem")]
+    means = [area_average(x, x.columns[-1], ratio, keys=()) for x in layers]
+    done = downscaled(full, means[0].join(means[1], ["r", "c"]), layers[0].join(layers[1], ["r", "c"]), low, high, method)
+    there = coarse.where("lst is not null").select("d", F.col("r").alias("sr"), F.col("c").alias("sc"))
+    done = done.withColumn("sr", F.expr(f"cast(r div {ratio} as int)")).withColumn("sc", F.expr(f"cast(c div {ratio} as int)")).join(there, ["d", "sr", "sc"], "left_semi")
+    return done.join(fine_static.where("dem is not null").select("r", "c"), ["r", "c"], "left_semi").select("d", "r", "c", "lst")

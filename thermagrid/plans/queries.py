@@ -503,13 +503,22 @@ def ols_plane(spark, sf):
     places=4,
 )
 def ols_downscale(spark, sf):
+    finer, rows = _finer(spark, sf)
+    return downscale.downscaled(derived.era5(spark, sf).withColumnRenamed("t", "lst"), derived.static(spark, sf), finer, (rows, 15), (2 * rows, 30))
+
+
+def _finer(spark, sf):
     fine, rows = _fine(spark, sf)
-    static = derived.static(spark, sf)
-    own = static.select(F.col("r").alias("sr"), F.col("c").alias("sc"), "ndvi", "dem")
+    own = derived.static(spark, sf).select(F.col("r").alias("sr"), F.col("c").alias("sc"), "ndvi", "dem")
     finer = fine.withColumn("sr", F.expr("r div 2").cast("int")).withColumn("sc", F.expr("c div 2").cast("int")).join(own, ["sr", "sc"])
-    finer = finer.select("r", "c", (F.col("ndvi") + 0.01 * (F.col("c") % 2)).alias("ndvi"), (F.col("dem") + 10 * (F.col("r") % 2)).alias("dem"))
-    coarse = derived.era5(spark, sf).withColumnRenamed("t", "lst")
-    return downscale.downscaled(coarse, static, finer, (rows, 15), (2 * rows, 30))
+    return finer.select("r", "c", (F.col("ndvi") + 0.01 * (F.col("c") % 2)).alias("ndvi"), (F.col("dem") + 10 * (F.col("r") % 2)).alias("dem")), rows
+
+
+@query(places=4)
+def pmw_downscale(spark, sf):
+    """The microwave grid with its holes, over all days."""
+    finer, rows = _finer(spark, sf)
+    return downscale.filled_downscaled(_dense(spark, sf), finer, (rows, 15), 2)
 
 
 @query("select d, r, c, (r * 31 + c * 17 + day(d)) % 10 < 7 train from pmw")
