@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .resample import area_average, nearest_filled, resize
+from .resample import Grid, area_resized, nearest_filled, resize, warp
 
 
 def plane(samples: DataFrame, y: str = "lst", x1: str = "ndvi", x2: str = "dem") -> DataFrame:
@@ -30,19 +30,35 @@ def downscaled(coarse: DataFrame, coarse_static: DataFrame, fine_static: DataFra
     samples = coarse.join(coarse_static, ["r", "c"])
     fit = plane(samples)
     trend = F.col("a") * F.col("ndvi") + F.col("b") * F.col("dem") + F.col("k")
-    residual = samples.join(fit, "d").select("d", "r", "c", (F.col("lst") - trend).alias("residual"))
-    spread = resize(residual, fine_static, "residual", low, high, method)
-    return spread.join(fine_static, ["r", "c"]).join(fit, "d").select("d", "r", "c", (trend + F.col("residual")).alias("lst"))
+    # a plane is three numbers a day
+    residual = samples.join(F.broadcast(fit), "d").select("d", "r", "c", (F.col("lst") - trend).alias("residual"))
+    spread = resize(residual, None, "residual", low, high, method)
+    return spread.join(fine_static, ["r", "c"]).join(F.broadcast(fit), "d").select("d", "r", "c", (trend + F.col("residual")).alias("lst"))
 
 
-def filled_downscaled(coarse: DataFrame, fine_static: DataFrame, low: tuple[int, int], ratio: int, method: str = "cubic") -> DataFrame:
+def regression_samples(coarse: DataFrame, fine_static: DataFrame, low: tuple[int, int], high: tuple[int, int]) -> DataFrame:
+    """(d, r, c, lst, ndvi, dem): what each day's plane is fitted to, holes of every layer filled from the nearest cell
+    and the fine layers averaged to the coarse grid, whatever the ratio."""
+    full = nearest_filled(coarse, "lst")
+    return full.join(_means(fine_static, low, high), ["r", "c"]).select("d", "r", "c", "lst", "ndvi", "dem")
+
+
+def _means(fine_static: DataFrame, low: tuple[int, int], high: tuple[int, int]) -> DataFrame:
+    layers = [area_resized(nearest_filled(fine_static.select("r", "c", x), x, keys=()), x, high, low, keys=()) for x in ("ndvi", "dem")]
+    return layers[0].join(layers[1], ["r", "c"])
+
+
+def filled_downscaled(coarse: DataFrame, fine_static: DataFrame, low: tuple[int, int], high: tuple[int, int], method: str = "cubic") -> DataFrame:
     """downscaled() of a grid with holes: coarse (d, r, c, lst, NULL in holes) and the static layers are filled from the
-    nearest cell, the layers averaged to the coarse grid, and only fine cells kept whose coarse cell and elevation were there."""
-    high = (low[0] * ratio, low[1] * ratio)
-    full = nearest_filled(coarse, "lst", reach=max(low))
-    layers = [nearest_filled(fine_static.select("r", "c", x), x, reach=max(high), keys=()) for x in ("ndvi", "dem")]
-    means = [area_average(x, x.columns[-1], ratio, keys=()) for x in layers]
-    done = downscaled(full, means[0].join(means[1], ["r", "c"]), layers[0].join(layers[1], ["r", "c"]), low, high, method)
-    there = coarse.where("lst is not null").select("d", F.col("r").alias("sr"), F.col("c").alias("sc"))
-    done = done.withColumn("sr", F.expr(f"cast(r div {ratio} as int)")).withColumn("sc", F.expr(f"cast(c div {ratio} as int)")).join(there, ["d", "sr", "sc"], "left_semi")
-    return done.join(fine_static.where("dem is not null").select("r", "c"), ["r", "c"], "left_semi").select("d", "r", "c", "lst")
+    nearest cell, the layers averaged to the coarse grid, and what output_mask() does not allow left out."""
+    full = nearest_filled(coarse, "lst")
+    layers = [nearest_filled(fine_static.select("r", "c", x), x, keys=()) for x in ("ndvi", "dem")]
+    done = downscaled(full, _means(fine_static, low, high), layers[0].join(layers[1], ["r", "c"]), low, high, method)
+    return done.join(output_mask(coarse, fine_static, low, high), ["d", "r", "c"], "left_semi")
+
+
+def output_mask(coarse: DataFrame, fine_static: DataFrame, low: tuple[int, int], high: tuple[int, int]) -> DataFrame:
+    """(d, r, c) of the fine cells whose nearest coarse cell has a value that day and whose elevation is known."""
+    there = coarse.select("d", "r", "c", F.col("lst").isNotNull().cast("double").alias("there"))
+    near = warp(there, "there", Grid.index(low), Grid.index(high), "nearest").where("there > 0.5")
+    return near.join(fine_static.where("dem is not null").select("r", "c"), ["r", "c"], "left_semi").select("d", "r", "c")
