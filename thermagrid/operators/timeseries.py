@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.radiometry import valid_ndvi
+
 #: Savitzky-Golay weights for window 11, order 2 and window 5, order 3.
 WIDE = [x / 429 for x in (-36, 9, 44, 69, 84, 89, 84, 69, 44, 9, -36)]
 NARROW = [x / 35 for x in (-3, 12, 17, 12, -3)]
@@ -66,90 +70,133 @@ def linear_filled(df: DataFrame, value: str) -> DataFrame:
 
 
 def quadratic_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Interpolating spline of degree 2 with knots midway between sites but for the outermost two gaps' ends."""
-    n, degree = len(x), 2
-    middle = (x[1:] + x[:-1]) / 2
-    knots = np.concatenate([np.full(degree + 1, x[0]), middle[1:-1], np.full(degree + 1, x[-1])])
+    """Interpolating splines of degree 2, one for each row of x (ascending sites) and y, at the points of at.
+
+    Knots lie midway between sites but for the outermost two gaps' ends."""
+    n, degree = x.shape[1], 2
+    middle = (x[:, 1:] + x[:, :-1]) / 2
+    knots = np.concatenate([np.repeat(x[:, :1], degree + 1, 1), middle[:, 1:-1], np.repeat(x[:, -1:], degree + 1, 1)], 1)
 
     def basis(points: np.ndarray) -> np.ndarray:
-        inside = np.clip(np.searchsorted(knots, points, "right") - 1, degree, n - 1)
-        b = np.zeros((len(points), len(knots) - 1))
-        b[np.arange(len(points)), inside] = 1
+        inside = np.clip((knots[:, None, :] <= points[:, :, None]).sum(2) - 1, degree, n - 1)
+        b = (inside[:, :, None] == np.arange(knots.shape[1] - 1)).astype(float)
         for p in range(1, degree + 1):
-            nxt = np.zeros((len(points), len(knots) - 1 - p))
-            for i in range(len(knots) - 1 - p):
-                u, v = knots[i + p] - knots[i], knots[i + p + 1] - knots[i + 1]
-                if u > 0:
-                    nxt[:, i] += (points - knots[i]) / u * b[:, i]
-                if v > 0:
-                    nxt[:, i] += (knots[i + p + 1] - points) / v * b[:, i + 1]
-            b = nxt
+            width = knots[:, p:] - knots[:, :-p]
+            inverse = np.where(width > 0, 1 / np.where(width > 0, width, 1), 0.0)[:, None, :]
+            rising = (points[:, :, None] - knots[:, None, :-p]) * inverse
+            falling = (knots[:, None, p:] - points[:, :, None]) * inverse
+            b = rising[:, :, :-1] * b[:, :, :-1] + falling[:, :, 1:] * b[:, :, 1:]
         return b
 
-    return basis(at) @ np.linalg.solve(basis(x), y)
+    return (basis(at) @ np.linalg.solve(basis(x), y[:, :, None]))[:, :, 0]
+
+
+#: Numbers that one array of a batched kernel has at most.
+HELD = 1 << 22
+
 
+def _batched(df: DataFrame, value: str, fill: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(d, r, c, value) with the value of whole series from fill(days, values): rows are pixels, NaN is missing.
 
-def _grouped(df: DataFrame, value: str, fill) -> DataFrame:
-    def apply(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("d")
-        day = (pd.to_datetime(group["d"]) - pd.to_datetime(group["d"].iloc[0])).dt.days.to_numpy(float)
-        return group.assign(**{value: fill(day, group[value].to_numpy(float))})
+    Pixels travel as one array of days each; those of one length are solved together."""
+    rows = series(df.select("d", "r", "c", F.col(value).cast("double").alias(value)), value)
 
-    rows = df.select("d", "r", "c", F.col(value).cast("double").alias(value))
-    done = rows.groupBy("r", "c").applyInPandas(apply, rows.schema)
-    return done.withColumn(value, F.nanvl(value, F.lit(None).cast("double")))
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("s")
+            cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            flat = lists.flatten()
+            d, v = flat.field(0).cast(pa.int32()).to_numpy(), flat.field(1).to_numpy(zero_copy_only=False).astype(float)
+            out, length = np.full(len(v), np.nan), np.diff(cuts)
+            for n in np.unique(length[length > 0]).tolist():
+                same = np.flatnonzero(length == n)
+                step = max(1, HELD // (n * n))
+                for a in range(0, len(same), step):
+                    at = cuts[same[a : a + step], None] + np.arange(n)
+                    days = (d[at] - d[at[:, :1]]).astype(float)
+                    out[at] = fill(days, v[at])
+            filled = pa.StructArray.from_arrays([flat.field(0), pa.array(out, mask=~np.isfinite(out))], ["d", "v"])
+            yield pa.RecordBatch.from_arrays([b.column("r"), b.column("c"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), filled)], ["r", "c", "s"])
 
+    done = rows.mapInArrow(apply, rows.schema)
+    return done.select("r", "c", F.inline("s")).select("d", "r", "c", F.col("v").alias(value))
 
-def spline_filled(df: DataFrame, value: str, least: int = 4) -> DataFrame:
-    """Gaps by quadratic spline over day numbers and ends held, for pixels with ``least`` valid days; others unchanged."""
+
+def spline_filled(df: DataFrame, value: str, least: int = 4, else_missing: bool = False) -> DataFrame:
+    """Gaps by quadratic spline over day numbers and ends held, for pixels with ``least`` valid days; others unchanged,
+    or NULL on all days if ``else_missing``.  A pixel whose spline is not finite is NULL on all days."""
 
     def fill(day: np.ndarray, v: np.ndarray) -> np.ndarray:
         ok = ~np.isnan(v)
-        if ok.sum() < least:
-            return v
-        first, last = day[ok][0], day[ok][-1]
-        out = v.copy()
-        gap = ~ok & (day > first) & (day < last)
-        if gap.any():
-            out[gap] = quadratic_spline(day[ok], v[ok], day[gap])
-        out[day < first], out[day > last] = v[ok][0], v[ok][-1]
-        return out if np.isfinite(out).all() else np.full_like(v, np.nan)
-
-    return _grouped(df, value, fill)
+        out, count = v.copy(), ok.sum(1)
+        if else_missing:
+            out[count < least] = np.nan
+        for n in np.unique(count[count >= least]).tolist():
+            some = np.flatnonzero(count == n)
+            there = ok[some]
+            x, y = day[some][there].reshape(-1, n), v[some][there].reshape(-1, n)
+            smooth = quadratic_spline(x, y, np.clip(day[some], x[:, :1], x[:, -1:]))
+            held = np.where(day[some] < x[:, :1], y[:, :1], np.where(day[some] > x[:, -1:], y[:, -1:], smooth))
+            whole = np.where(there, v[some], held)
+            whole[~np.isfinite(whole).all(1)] = np.nan
+            out[some] = whole
+        return out
+
+    return _batched(df, value, fill)
 
 
 def ssa(v: np.ndarray, window: int, rank: int, rounds: int = 10) -> np.ndarray:
-    """Singular spectrum reconstruction: trajectory matrix, truncated SVD and diagonal averages, repeated with the
-    missing entries replaced by the reconstruction."""
+    """Singular spectrum reconstruction of each row: trajectory matrix, its part in the leading singular vectors and
+    diagonal averages, repeated with the missing entries replaced by the reconstruction until they stay."""
     ok = ~np.isnan(v)
-    x = np.where(ok, v, v[ok].mean())
-    n, k = len(x), len(x) - window + 1
+    x = np.where(ok, v, (np.where(ok, v, 0).sum(1) / ok.sum(1))[:, None])
+    n = v.shape[1]
+    k = n - window + 1
     index = np.arange(window)[:, None] + np.arange(k)
     weight = np.bincount(index.ravel(), minlength=n)
-    y = x
+    y, todo = x.copy(), np.arange(len(v))
     for _ in range(rounds):
-        u, s, w = np.linalg.svd(x[index], full_matrices=False)
-        y = np.bincount(index.ravel(), ((u[:, :rank] * s[:rank]) @ w[:rank]).ravel(), minlength=n) / weight
-        new = np.where(ok, v, y)
-        if np.abs(new - x).max() < 1e-9:
+        path = x[todo][:, index]
+        _, vectors = np.linalg.eigh(path @ path.transpose(0, 2, 1))
+        lead = vectors[:, :, -rank:]
+        near = lead @ (lead.transpose(0, 2, 1) @ path)
+        total = np.zeros((len(todo), n))
+        for i in range(window):
+            total[:, i : i + k] += near[:, i]
+        y[todo] = total / weight
+        new = np.where(ok[todo], v[todo], y[todo])
+        moved = np.abs(new - x[todo]).max(1) >= 1e-9
+        x[todo] = new
+        todo = todo[moved]
+        if not len(todo):
             break
-        x = new
     return y
 
 
 def ssa_filled(df: DataFrame, value: str, window: int = 10, rank: int = 3, least: int = 5) -> DataFrame:
     """Values that are missing or not positive come from the reconstruction.  A pixel with no positive value becomes
-    NULL; one with fewer than ``least`` stays as it is."""
+    NULL; one with fewer than ``least``, or with less than two windows of days, stays as it is."""
 
     def fill(day: np.ndarray, v: np.ndarray) -> np.ndarray:
         ok = v > 0
-        if not ok.any():
-            return np.full_like(v, np.nan)
-        if ok.sum() < least or len(v) < 2 * window:
-            return v
-        return np.where(ok, v, ssa(np.where(ok, v, np.nan), window, rank))
+        count = ok.sum(1)
+        out = np.where((count > 0)[:, None], v, np.nan)
+        some = np.flatnonzero(count >= max(1, least)) if v.shape[1] >= 2 * window else []
+        if len(some):
+            out[some] = np.where(ok[some], v[some], ssa(np.where(ok[some], v[some], np.nan), window, rank))
+        return out
+
+    return _batched(df, value, fill)
+
+
+def vegetation_smoothed(df: DataFrame, value: str, roi: DataFrame, envelope: bool = False, least: int = 4) -> DataFrame:
+    """The vegetation chain over df (d, r, c, value) inside roi (r, c, roi = 1): values outside [-1, 1] are missing, gaps
+    are filled by spline with the ends held, then smoothed.
 
-    return _grouped(df, value, fill)
+    A pixel with fewer than ``least`` valid days is NULL on all of them; one outside the ROI gives no row."""
+    inside = df.join(roi.where("roi = 1").select("r", "c"), ["r", "c"])
+    valid = inside.select("d", "r", "c", valid_ndvi(F.col(value)).alias(value))
+    return smoothed(spline_filled(valid, value, least, else_missing=True), value, envelope)
 
 
 def usable(df: DataFrame, value: str, least: int) -> DataFrame:
