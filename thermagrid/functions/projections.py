@@ -43,3 +43,9 @@ def ease_inverse(x: Column, y: Column) -> tuple[Column, Column]:
     k = math.cos(math.radians(EASE_LATITUDE))
     s = y * k / EASE_RADIUS
     return F.degrees(x / (EASE_RADIUS * k)), F.degrees(F.when(F.abs(s) <= 1, F.asin(s)))
+
+
+def ease_forward(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """(x, y) in metres of the cylindrical equal-area grid."""
+    k = math.cos(math.radians(EASE_LATITUDE))
+    return F.radians(lon) * (EASE_RADIUS * k), F.sin(F.radians(lat)) * (EASE_RADIUS / k)

@@ -67,3 +67,15 @@ def clamped(residual: Column, most: float = 20.0) -> Column:
 
 def swapped(value: Column, reference: Column, most: float = 20.0) -> Column:
     return F.when(F.abs(value - reference) > most, reference).otherwise(value)
+
+
+#: The raster type codes of the format and what holds them at rest; other codes are float.
+STORED = {1: "short", 2: "int", 3: "short", 4: "long", 5: "int", 6: "float", 7: "double"}
+
+
+def stored_type(code: int) -> str:
+    """The column type for a raster type code; complex types are pairs of their parts."""
+    if 8 <= code <= 11:
+        part = {8: "short", 9: "int", 10: "float", 11: "double"}[code]
+        return f"struct<re: {part}, im: {part}>"
+    return STORED.get(code, "float")

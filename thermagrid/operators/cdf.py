@@ -2,12 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.radiometry import swapped, within
 
 
+#: Equal bins of a key's range that are ranked apart.
+BINS = 64
+
+
+def ranked(df: DataFrame, value: str, order: tuple[str, ...] = (), keys: tuple[str, ...] = ("d",)) -> DataFrame:
+    """df's rows with a value, with rank (from 0, by value and then ``order``) and n, the number of them, for each key.
+
+    A key's range is cut into BINS equal bins, which are ranked apart and shifted by what the bins below hold, so no
+    task sorts a whole day unless its values are all alike.  What is joined is a few numbers for each key."""
+    there = df.where(F.col(value).isNotNull())
+    ends = there.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    share = (F.col(value) - F.col("__lo")) / F.when(F.col("__hi") > F.col("__lo"), F.col("__hi") - F.col("__lo"))
+    binned = there.join(F.broadcast(ends), list(keys)).withColumn("__bin", F.least(F.floor(F.coalesce(share, F.lit(0.0)) * BINS), F.lit(BINS - 1)).cast("int"))
+    counts = binned.groupBy(*keys, "__bin").agg(F.count(F.lit(1)).alias("__k"))
+    whole = Window.partitionBy(*keys)
+    below = F.coalesce(F.sum("__k").over(whole.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = counts.select(*keys, "__bin", below.alias("__below"), F.sum("__k").over(whole).alias("n"))
+    local = F.row_number().over(Window.partitionBy(*keys, "__bin").orderBy(value, *order)) - 1
+    rows = binned.withColumn("__local", local).join(F.broadcast(shifts), [*keys, "__bin"])
+    return rows.select(*df.columns, (F.col("__local") + F.col("__below")).alias("rank"), "n")
+
+
+def empirical(df: DataFrame, value: str, order: tuple[str, ...] = ("r", "c"), keys: tuple[str, ...] = ("d",)) -> DataFrame:
+    """df with p, the percentage of its key's values up to this one; equal values take steps of their own."""
+    return ranked(df, value, order, keys).select(*df.columns, ((F.col("rank") + 1) / F.col("n") * 100).alias("p"))
+
+
+def percentiles(df: DataFrame, value: str, wanted: DataFrame, keys: tuple[str, ...] = ("d",)) -> DataFrame:
+    """wanted (keys, k, p from 0 to 1) with q, the linearly interpolated percentile of value there."""
+    rows = ranked(df.select(*keys, value), value, keys=keys)
+    spots = F.broadcast(rows.groupBy(*keys).agg(F.first("n").alias("__n")).join(wanted, list(keys)))
+    spot = F.col("p") * (F.col("__n") - 1)
+    places = spots.select(*keys, "k", "p", (spot - F.floor(spot)).alias("__part"), F.explode(F.array(F.floor(spot), F.least(F.floor(spot) + 1, F.col("__n") - 1))).alias("rank"))
+    met = F.broadcast(places).join(rows.select(*keys, "rank", F.col(value).alias("__v")), [*keys, "rank"])
+    found = met.groupBy(*keys, "k", "p", "__part").agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"))
+    return found.select(*keys, "k", "p", (F.col("__low") + F.col("__part") * (F.col("__high") - F.col("__low"))).alias("q"))
+
+
 def knots(pairs: DataFrame, n_quantiles: int | None = None, breakpoints: list[float] | None = None, least: int = 1000) -> DataFrame:
     """(d, n, tar, ref): for each day with at least ``least`` pairs (d, tar, ref), ascending knots of the map.
 
@@ -17,25 +55,22 @@ def knots(pairs: DataFrame, n_quantiles: int | None = None, breakpoints: list[fl
     if (n_quantiles is None) == (breakpoints is None):
         raise ValueError("give either n_quantiles or breakpoints")
     both = pairs.where(F.col("tar").isNotNull() & F.col("ref").isNotNull())
+    ends = both.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.min("ref").alias("lo"), F.max("ref").alias("hi")).where(F.col("n") >= least)
     if n_quantiles:
         at = F.array(*[F.lit(i / (n_quantiles - 1)) for i in range(n_quantiles)])
-        days = both.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.percentile("tar", at).alias("tar"), F.percentile("ref", at).alias("ref")).where(F.col("n") >= least)
+        wanted = ends.select("d", F.posexplode(at).alias("k", "p"))
+        tar = percentiles(both, "tar", wanted).select("d", "k", F.col("q").alias("t"))
+        days = tar.join(percentiles(both, "ref", wanted).select("d", "k", F.col("q").alias("r")), ["d", "k"])
     else:
-        ends = both.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.min("ref").alias("lo"), F.max("ref").alias("hi")).where(F.col("n") >= least)
         inner = F.array(*[F.lit(float(b)) for b in sorted(breakpoints)])
-        ends = ends.withColumn("ref", F.array_sort(F.array_distinct(F.concat(F.array("lo"), F.filter(inner, lambda b: (b > F.col("lo")) & (b < F.col("hi"))), F.array("hi")))))
-        one = ends.select("d", "n", F.posexplode("ref").alias("k", "knot"))
-        scored = both.join(one, "d").groupBy("d", "n", "k", "knot").agg((F.count(F.when(F.col("ref") < F.col("knot"), 1)) / F.count(F.lit(1))).alias("p"))
-        ordered = both.groupBy("d").agg(F.array_sort(F.collect_list("tar")).alias("x"))
-        spot = F.col("p") * (F.size("x") - 1)
-        low = F.floor(spot).cast("int")
-        value = F.get("x", low) + (spot - low) * (F.get("x", F.least(low + 1, F.size("x") - 1)) - F.get("x", low))
-        days = scored.join(ordered, "d").select("d", "n", F.struct("k", value.alias("t"), F.col("knot").alias("r")).alias("e")).groupBy("d", "n").agg(F.array_sort(F.collect_list("e")).alias("e"))
-        days = days.select("d", "n", F.transform("e", lambda e: e["t"]).alias("tar"), F.transform("e", lambda e: e["r"]).alias("ref"))
-    zipped = F.arrays_zip(F.array_sort("tar").alias("t"), F.array_sort("ref").alias("r"))
-    days = days.withColumn("z", zipped)
+        spots = F.array_sort(F.array_distinct(F.concat(F.array("lo"), F.filter(inner, lambda b: (b > F.col("lo")) & (b < F.col("hi"))), F.array("hi"))))
+        one = ends.select("d", F.posexplode(spots).alias("k", "r"))
+        scored = both.join(F.broadcast(one), "d").groupBy("d", "k", "r").agg((F.count(F.when(F.col("ref") < F.col("r"), 1)) / F.count(F.lit(1))).alias("p"))
+        days = percentiles(both, "tar", scored.select("d", "k", "p")).join(one, ["d", "k"]).select("d", "k", F.col("q").alias("t"), "r")
+    lists = days.groupBy("d").agg(F.array_sort(F.collect_list("t")).alias("t"), F.array_sort(F.collect_list("r")).alias("r"))
+    zipped = lists.join(ends.select("d", "n"), "d").withColumn("z", F.arrays_zip("t", "r"))
     fresh = F.filter("z", lambda e, i: (i == 0) | (e["t"] > F.get(F.col("z"), F.greatest(i - 1, F.lit(0)))["t"]))
-    return days.withColumn("z", fresh).select("d", "n", F.transform("z", lambda e: e["t"]).alias("tar"), F.transform("z", lambda e: e["r"]).alias("ref"))
+    return zipped.withColumn("z", fresh).select("d", "n", F.transform("z", lambda e: e["t"]).alias("tar"), F.transform("z", lambda e: e["r"]).alias("ref"))
 
 
 def mapped(x: Column, tar: Column, ref: Column) -> Column:
@@ -56,7 +91,7 @@ def corrected(imputed: DataFrame, reference: DataFrame, roi: DataFrame, least: i
     found = knots(fit.select("d", F.col("lst").alias("tar"), F.col("t").alias("ref")), least=least, **how)
     value = mapped(F.col("lst"), F.col("tar"), F.col("ref"))
     value = swapped(value, F.col("t")) if swap else value
-    rows = pixels.join(found, "d").select("d", "r", "c", value.alias("lst"))
+    rows = pixels.join(F.broadcast(found), "d").select("d", "r", "c", value.alias("lst"))
     return rows.withColumn("lst", F.when(within(F.col("lst"), "cdf_keep"), F.col("lst")))
 
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import dekad_num
+from ..functions.radiometry import clamped, cloud_free, within
+from .metrics import regression
+from .resample import Grid, warp
 
 #: Ranges that random search draws from (trees, depth, step, share of rows).
 IMPUTE_SPACE = {"maxIter": (100, 500), "maxDepth": (5, 12), "stepSize": (0.01, 0.11), "subsamplingRate": (0.8, 1.0)}
@@ -47,18 +52,18 @@ def fitted(samples: DataFrame, features: list[str], label: str, weight: str | No
 
 
 def predicted(model: GBTRegressionModel, rows: DataFrame, features: list[str]) -> DataFrame:
-    """rows with ``predicted``, NULL where a feature is missing."""
-    full = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(rows.dropna(subset=features))
-    keys = ["d", "r", "c"]
-    return rows.join(model.transform(full).select(*keys, "predicted"), keys, "left")
+    """rows with ``predicted``, NULL where a feature is missing; no row moves."""
+    full = F.lit(True)
+    for feature in features:
+        full = full & F.col(feature).isNotNull() & ~F.isnan(F.col(feature).cast("double"))
+    scored = model.transform(VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(rows))
+    return scored.withColumn("predicted", F.when(full, F.col("predicted"))).select(*rows.columns, "predicted")
 
 
 def imputed(pixels: DataFrame, features: list[str], least: int = 0, **how) -> DataFrame:
     """pixels (d, r, c, lst, roi, features) with lst filled by a model of each dekad where it is missing in the ROI.
 
     Out-of-range values stay out of training and pass unchanged.  The driver loops over dekads, at most 36 a year."""
-    from ..functions.radiometry import within
-
     rows = pixels.withColumn("dekad", dekad_num(F.col("d")))
     out = None
     for (dekad,) in sorted(rows.select("dekad").distinct().collect()):
@@ -79,10 +84,50 @@ def fused(pixels: DataFrame, features: list[str], **how) -> DataFrame:
     else the model's with its clamped residual, 0 without a thermal value, kept in range.
 
     Trained on in-range pairs in the ROI that have a weight; a pixel that lacks a feature has no prediction."""
-    from ..functions.radiometry import clamped, cloud_free, within
-
     train = pixels.where(is_training() & (F.col("roi") == 1) & within(F.col("virr"), "model") & F.col("w").isNotNull())
     done = predicted(fitted(train, features, "virr", weight="w", **how), pixels, features)
-    clear = cloud_free(F.col("virr"), F.col("pmw"), F.col("dem"), F.col("ndvi"))
-    whole = F.col("predicted") + clamped(clear - F.col("predicted"))
-    return done.select("d", "r", "c", F.coalesce(clear, F.when(within(whole, "fused"), whole)).alias("lst"))
+    residual = clamped(_clear() - F.col("predicted"))
+    return done.select("d", "r", "c", _whole(F.col("predicted") + residual).alias("lst"))
+
+
+def _clear():
+    return cloud_free(F.col("virr"), F.col("pmw"), F.col("dem"), F.col("ndvi"))
+
+
+def _whole(value):
+    return F.coalesce(_clear(), F.when(within(value, "fused"), value))
+
+
+def coarse_residual(scored: DataFrame) -> DataFrame:
+    """scored (d, r, c, virr, pmw, ndvi, dem, predicted) on the coarse grid as (d, r, c, residual): the cloud-free thermal
+    value less the prediction, clamped, and 0 where either is missing."""
+    return scored.select("d", "r", "c", clamped(_clear() - F.col("predicted")).alias("residual"))
+
+
+def fused_fine(scored: DataFrame, residual: DataFrame, low: tuple[int, int], high: tuple[int, int]) -> DataFrame:
+    """scored (d, r, c, virr, pmw, ndvi, dem, predicted) on the fine grid and the coarse residual (d, r, c, residual) as
+    (d, r, c, lst): the residual is spread by cubic B-splines, 0 where there is none, and added to the prediction; kept
+    in range, it stands where the cloud-free thermal value is missing."""
+    spread = warp(residual, "residual", Grid.index(low), Grid.index(high), "bspline")
+    both = scored.join(spread, ["d", "r", "c"], "left")
+    return both.select("d", "r", "c", _whole(F.col("predicted") + F.coalesce("residual", F.lit(0.0))).alias("lst"))
+
+
+def saved(model: GBTRegressionModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def loaded(path: str) -> GBTRegressionModel:
+    return GBTRegressionModel.load(path)
+
+
+def held_out(model: GBTRegressionModel, rows: DataFrame, features: list[str], label: str) -> DataFrame:
+    """One row of agreement on rows that were not trained on."""
+    return regression(predicted(model, rows.where(~is_training()), features), "predicted", label)
+
+
+def logged(spark: SparkSession, path: str, name: str, model: GBTRegressionModel, scores: DataFrame) -> None:
+    """Append one row of a training log: the model's name, its chosen parameters as JSON, and its scores."""
+    chosen = {k: model.getOrDefault(k) for k in ("maxIter", "maxDepth", "stepSize", "subsamplingRate")}
+    row = scores.select(F.lit(name).alias("model"), F.lit(json.dumps(chosen)).alias("parameters"), "*")
+    row.withColumn("at", F.current_timestamp()).write.mode("append").parquet(path)
