@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.calendar import days
-
 WIDTH = 15
 FIRST, LAST = "2024-01-01", "2024-01-30"
 
@@ -48,4 +46,5 @@ def static(spark: SparkSession, sf_dir: str) -> DataFrame:
 def era5(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = table(spark, sf_dir, "events").select(*_cell("user_id")).distinct()
     t = F.lit(250.0) + (F.col("r") * 7 + F.col("c") * 3 + F.dayofmonth("d") * 5) % 60
-    return users.crossJoin(F.broadcast(days(spark, FIRST, LAST))).select("d", "r", "c", t.cast("double").alias("t"))
+    every = F.expr(f"explode(sequence(date'{FIRST}', date'{LAST}'))")
+    return users.select("r", "c", every.alias("d")).select("d", "r", "c", t.cast("double").alias("t"))
