@@ -46,7 +46,7 @@ def test_constant_survives_resizing(spark, method):
 def test_nearest_fill_is_exact_with_ties_to_the_smallest_cell(spark):
     rng = np.random.default_rng(3)
     a = np.where(rng.random((9, 11)) < 0.15, rng.random((9, 11)), np.nan)
-    got = dense(resample.nearest_filled(pixels(spark, a), "v", reach=11), "v", a.shape)
+    got = dense(resample.nearest_filled(pixels(spark, a), "v"), "v", a.shape)
     ok = [(r, c) for r in range(9) for c in range(11) if not np.isnan(a[r, c])]
     for r in range(9):
         for c in range(11):
@@ -54,7 +54,7 @@ def test_nearest_fill_is_exact_with_ties_to_the_smallest_cell(spark):
 
 
 def test_nearest_fill_without_any_value(spark):
-    assert np.isnan(dense(resample.nearest_filled(pixels(spark, np.full((2, 2), np.nan)), "v", reach=2), "v", (2, 2))).all()
+    assert np.isnan(dense(resample.nearest_filled(pixels(spark, np.full((2, 2), np.nan)), "v"), "v", (2, 2))).all()
 
 
 def test_savgol_equals_padded_convolution(spark):
@@ -71,7 +71,8 @@ def test_spline_recovers_a_parabola_and_its_sites():
     x = np.array([0, 1, 3, 4, 7, 9, 10], float)
     y = 2 * x * x - 3 * x + 1
     at = np.linspace(0, 10, 41)
-    assert np.allclose(timeseries.quadratic_spline(x, y, at), 2 * at * at - 3 * at + 1)
+    both = timeseries.quadratic_spline(np.stack([x, x]), np.stack([y, 2 * y]), np.stack([at, at]))
+    assert np.allclose(both, [2 * at * at - 3 * at + 1, 2 * (2 * at * at - 3 * at + 1)])
 
 
 def test_ssa_keeps_valid_values_and_gates(spark):

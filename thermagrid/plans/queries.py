@@ -8,7 +8,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar, projections, radiometry
@@ -93,7 +93,7 @@ def files_by_dekad(spark, sf):
 @query("select distinct d, cast(d - (select min(d) from scene) as int) ordinal from scene")
 def distinct_dates(spark, sf):
     days = derived.scene(spark, sf).select("d").distinct()
-    return days.crossJoin(F.broadcast(days.agg(F.min("d").alias("first")))).select("d", calendar.ordinal(F.col("d"), F.col("first")).alias("ordinal"))
+    return days.select("d", calendar.ordinal(F.col("d"), F.min("d").over(Window.partitionBy(F.lit(0)))).alias("ordinal"))
 
 
 # filters and per-pixel rules -----------------------------------------------------------------------------------------
@@ -175,45 +175,46 @@ def outlier_swap(spark, sf):
     return joins.registered(derived.pmw(spark, sf), derived.era5(spark, sf)).select("d", "r", "c", radiometry.swapped(F.col("lst"), F.col("t")).alias("lst"))
 
 
-@query("select d, r, c, round(case when gaps then t else lst end, 6) lst from (select d, r, c, lst, t, max(lst is null) over (partition by d) and roi = 1 gaps from era5 left join pmw using (d, r, c) join static using (r, c))")
+@query("select d, r, c, round(case when gaps then t else lst end, 6) lst from (select d, r, c, lst, t, max(lst is null and roi = 1) over (partition by d) and roi = 1 gaps from era5 left join pmw using (d, r, c) join static using (r, c))")
 def roi_full_prediction(spark, sf):
-    """The full prediction inside the ROI on days that needed any imputation, else the raw values."""
+    """The full prediction inside the ROI on days that needed any imputation there, else the raw values."""
     rows = derived.era5(spark, sf).join(derived.pmw(spark, sf), ["d", "r", "c"], "left").join(derived.static(spark, sf), ["r", "c"])
-    needs = rows.where("lst is null").select("d").distinct().withColumn("gaps", F.lit(True))
+    needs = rows.where("lst is null and roi = 1").select("d").distinct().withColumn("gaps", F.lit(True))
     return rows.join(needs, "d", "left").select("d", "r", "c", F.when(F.coalesce("gaps", F.lit(False)) & (F.col("roi") == 1), F.col("t")).otherwise(F.col("lst")).alias("lst"))
 
 
 # joins of availability -------------------------------------------------------------------------------------------------
 
 
-@query("select s.d, coalesce(n, 0) n, case when n is null then 'missing' else 'ok' end status from spine s left join (select d, count(*) n from scene where scene = 'signup' and day(d) % 4 <> 0 group by d) using (d)")
+@query("select s.d, coalesce(n, 0) n, case when n is null then 'missing' else 'ok' end status from spine s left join (select d, count(*) n from scene where scene = 'signup' group by d) using (d)")
 def spine_gap_report(spark, sf):
-    found = derived.scene(spark, sf).where((F.col("scene") == "signup") & (F.dayofmonth("d") % 4 != 0))
+    found = derived.scene(spark, sf).where("scene = 'signup'")
     return joins.spined(calendar.days(spark, derived.FIRST, derived.LAST), found)
 
 
-@query("select status, count(*) as days from (select case when n is null then 'missing' else 'ok' end status from spine s left join (select d, count(*) n from scene where day(d) % 4 <> 0 group by d) using (d)) group by 1")
+@query("select status, count(*) as days from (select case when n is null then 'missing' else 'ok' end status from spine s left join (select d, count(*) n from scene group by d) using (d)) group by 1")
 def load_status_counts(spark, sf):
-    found = derived.scene(spark, sf).where(F.dayofmonth("d") % 4 != 0)
-    return joins.spined(calendar.days(spark, derived.FIRST, derived.LAST), found).groupBy("status").agg(F.count(F.lit(1)).alias("days"))
+    return joins.spined(calendar.days(spark, derived.FIRST, derived.LAST), derived.scene(spark, sf)).groupBy("status").agg(F.count(F.lit(1)).alias("days"))
 
 
-@query("select d from spine where d not in (select d from pmw where day(d) % 3 = 0)")
+@query("select d from spine where d not in (select d from pmw group by d having count(*) >= 108)")
 def pending_days_anti(spark, sf):
-    return joins.pending(calendar.days(spark, derived.FIRST, derived.LAST), derived.pmw(spark, sf).where(F.dayofmonth("d") % 3 == 0))
+    """Days that have still to be done: those with fewer than 108 microwave pixels."""
+    done = derived.pmw(spark, sf).groupBy("d").agg(F.count(F.lit(1)).alias("n")).where("n >= 108")
+    return joins.pending(calendar.days(spark, derived.FIRST, derived.LAST), done)
 
 
-@query("select distinct d from pmw where d in (select d from virr where day(d) % 2 = 0) and d in (select d from era5)")
+@query("select distinct d from pmw where d in (select d from virr) and d in (select d from era5)")
 def complete_days_semi(spark, sf):
-    return joins.complete(derived.pmw(spark, sf), derived.virr(spark, sf).where(F.dayofmonth("d") % 2 == 0), derived.era5(spark, sf))
+    return joins.complete(derived.pmw(spark, sf), derived.virr(spark, sf), derived.era5(spark, sf))
 
 
 @query(f"select d, p.r, p.c, round(case when {_END} = date '2024-01-20' then 0 else ndvi end, 6) ndvi from pmw p left join static s using (r, c)")
 def layer_or_zero(spark, sf):
     """Vegetation of the pixel's dekad; 0 where the dekad's layer is absent (here the second)."""
     p = derived.pmw(spark, sf).withColumn("dekad_end", calendar.dekad_end(F.col("d")))
-    ends = calendar.days(spark, derived.FIRST, derived.LAST).select(calendar.dekad_end(F.col("d")).alias("dekad_end")).distinct().where("dekad_end <> date'2024-01-20'")
-    layer = derived.static(spark, sf).select("r", "c", "ndvi").crossJoin(F.broadcast(ends))
+    ends = F.expr("explode(array(date'2024-01-10', date'2024-01-31'))")
+    layer = derived.static(spark, sf).select("r", "c", "ndvi", ends.alias("dekad_end"))
     return joins.layer_or_zero(p, layer, "ndvi", ("dekad_end", "r", "c"), "dekad_end").select("d", "r", "c", "ndvi")
 
 
@@ -228,8 +229,12 @@ def area_average_25km(spark, sf):
 _GRID = "rows_ as (select max(r) + 1 as nr from era5), fine as (select cast(y.k as int) r, cast(x.k as int) c from rows_, generate_series(0, 2 * nr - 1) y(k), generate_series(0, 29) x(k))"
 
 
+def _rows(spark, sf) -> int:
+    return derived.era5(spark, sf).agg(F.max("r")).first()[0] + 1
+
+
 def _fine(spark, sf):
-    rows = derived.era5(spark, sf).agg(F.max("r")).first()[0] + 1
+    rows = _rows(spark, sf)
     fine = spark.range(2 * rows * 30).select(F.expr("cast(id div 30 as int)").alias("r"), F.expr("cast(id % 30 as int)").alias("c"))
     return fine, rows
 
@@ -237,26 +242,24 @@ def _fine(spark, sf):
 for _name, _method in (("nearest_upsample", "nearest"), ("bilinear_upsample", "bilinear"), ("cubic_upsample", "cubic"), ("bspline_upsample", "bspline")):
 
     def _upsample(spark, sf, method=_method):
-        fine, rows = _fine(spark, sf)
+        rows = _rows(spark, sf)
         # scaled so that no result lies on a rounding boundary, where the engines may differ
         days = derived.era5(spark, sf).withColumn("t", F.col("t") * F.lit(1.01234571234))
-        return resample.resize(days, fine, "t", (rows, 15), (2 * rows, 30), method)
+        return resample.resize(days, None, "t", (rows, 15), (2 * rows, 30), method)
 
     query(
         "select d, r, c, round(t, 6) t from (" + sql.resized("e3", "t", "fine", "(select nr from rows_)", "15", "(select 2 * nr from rows_)", "30", _method) + ")",
-        more=_GRID + ", e3 as (select d, r, c, t * 1.01234571234::double t from era5 where day(d) <= 3)",
+        more=_GRID + ", e3 as (select d, r, c, t * 1.01234571234::double t from era5)",
         name=_name,
     )(_upsample)
 
 
 @query(
     """select m.d, m.r, m.c, round(arg_min(p.lst, [cast((p.r - m.r) * (p.r - m.r) + (p.c - m.c) * (p.c - m.c) as int), p.r, p.c]), 6) lst
-       from era5 m join pmw p on p.d = m.d where day(m.d) <= 4 group by m.d, m.r, m.c"""
+       from era5 m join pmw p on p.d = m.d group by m.d, m.r, m.c"""
 )
 def nearest_valid_fill(spark, sf):
-    grid = derived.era5(spark, sf).join(derived.pmw(spark, sf), ["d", "r", "c"], "left").select("d", "r", "c", "lst")
-    at = grids.extent(grid).first()
-    return resample.nearest_filled(grid, "lst", reach=max(at.max_r - at.min_r, at.max_c - at.min_c) + 1)
+    return resample.nearest_filled(_dense(spark, sf), "lst")
 
 
 @query("select min(r) min_r, max(r) max_r, min(c) min_c, max(c) max_c from scene")
@@ -295,10 +298,10 @@ def hammer_forward(spark, sf):
 
 
 @query(
-    f"""select f.r, f.c, round(e.t, 6) t from (select r, c,
+    f"""select e.d, f.r, f.c, round(e.t, 6) t from (select r, c,
           cast(case when floor((cos({_PHI}) * sin({_LAM} / 2) / {_Z} * 18e6 + 18e6) / 2.4e6) not between 0 and 14 then 14 else floor((cos({_PHI}) * sin({_LAM} / 2) / {_Z} * 18e6 + 18e6) / 2.4e6) end as int) sc,
           cast(case when floor((9e6 - sin({_PHI}) / {_Z} * 9e6) / 1.8e6) not between 0 and 9 then 9 else floor((9e6 - sin({_PHI}) / {_Z} * 9e6) / 1.8e6) end as int) sr from static) f
-        join era5 e on e.r = f.sr and e.c = f.sc where e.d = date '2024-01-05'"""
+        join era5 e on e.r = f.sr and e.c = f.sc"""
 )
 def hammer_gather(spark, sf):
     """Nearest-neighbour regrid of every day: each output cell's source cell is computed and joined; beyond the edge, the last one."""
@@ -317,6 +320,114 @@ def ease_inverse(spark, sf):
     return derived.static(spark, sf).select("r", "c", lon.alias("lon"), lat.alias("lat"))
 
 
+@query(
+    """select d, tr r, tc c, round(sum(t * h * w) / sum(h * w), 6) t from (
+         select e.d, e.t, cast(y.k as int) tr, cast(x.k as int) tc,
+                least((y.k + 1) * nr / n, e.r + 1) - greatest(y.k * nr / n, e.r) h, least((x.k + 1) * 15 / 4::double, e.c + 1) - greatest(x.k * 15 / 4::double, e.c) w
+         from era5 e, shape, generate_series(0, n - 1) y(k), generate_series(0, 3) x(k)) where h > 1e-9 and w > 1e-9 group by 1, 2, 3""",
+    more="shape as (select max(r) + 1::double nr, cast((max(r) + 1) * 2 // 3 as int) n from era5)",
+)
+def area_average_fractional(spark, sf):
+    """Cells of 3/2 by 15/4: each fine cell counts by the share of it inside a coarse one."""
+    rows = _rows(spark, sf)
+    return resample.area_resized(derived.era5(spark, sf), "t", (rows, 15), (rows * 2 // 3, 4))
+
+
+_SINC = "case when abs({0}) < 1e-12 then 1 when abs({0}) < 3 then 3 * sin(pi() * {0}) * sin(pi() * {0} / 3) / (pi() * pi() * {0} * {0}) else 0 end"
+
+
+@query(
+    f"""select d, r, c, round(sum(v * w) / sum(w), 5) t from (
+          select s.d, f.r, f.c, s.t v, {_SINC.format('(f.y - floor(f.y) - i.k)')} * {_SINC.format('(f.x - floor(f.x) - j.k)')} w
+          from (select cast(a.k as int) r, cast(b.k as int) c, 1.75 + (a.k + 0.5) / 2.0::double - 0.5 y, 2.25 + (b.k + 0.5) / 2.0::double - 0.5 x from shape, generate_series(0, nr - 1) a(k), generate_series(0, 19) b(k)) f,
+               generate_series(-2, 3) i(k), generate_series(-2, 3) j(k), (select d, r, c, t * 1.01234571234::double t from era5) s, shape
+          where s.r = least(greatest(cast(floor(f.y) as int) + i.k, 0), nr - 1) and s.c = least(greatest(cast(floor(f.x) as int) + j.k, 0), 14)) group by d, r, c""",
+    more="shape as (select max(r) + 1 nr from era5)",
+    places=5,
+)
+def warp_lanczos(spark, sf):
+    """Half the cell size inside a box that starts between cells."""
+    rows = _rows(spark, sf)
+    source, target = resample.Grid.of(100.0, 50.0, 1.0, 1.0, rows, 15), resample.Grid.of(102.25, 48.25, 0.5, 0.5, rows, 20)
+    return resample.warp(derived.era5(spark, sf).withColumn("t", F.col("t") * F.lit(1.01234571234)), "t", source, target, "lanczos")
+
+
+_LON, _LAT = "(c * 24.0::double - 179.5)", "((r % 17 - 8) * 10.0::double + 0.3)"
+
+
+@query(
+    f"""select e.d, f.r, f.c, round(e.t, 6) t from (select r, c, cast(floor((radians({_LON}) * {_EASE} + 17334193.54) / 2311225.81) as int) sc,
+          cast(floor((7344784.83 - sin(radians({_LAT})) * 6371228.0::double / cos(radians(30.0::double))) / 1468956.97) as int) sr from static) f
+        join era5 e on e.r = f.sr and e.c = f.sc"""
+)
+def ease_gather(spark, sf):
+    """Nearest-neighbour regrid from the equal-area grid to longitude and latitude; beyond the grid, no value."""
+    x, y = projections.ease_forward(F.col("c") * 24.0 - 179.5, (F.col("r") % 17 - 8) * 10.0 + 0.3)
+    sc = projections.grid_index(x, -17334193.54, 2311225.81, 15, outside="null")
+    sr = projections.grid_index(-y, -7344784.83, 1468956.97, 10, outside="null")
+    source = derived.era5(spark, sf).select("d", F.col("r").alias("sr"), F.col("c").alias("sc"), "t")
+    return derived.static(spark, sf).select("r", "c", sc.alias("sc"), sr.alias("sr")).join(source, ["sr", "sc"]).select("d", "r", "c", "t")
+
+
+@query("select round(min(lon), 6) min_lon, round(max(lon), 6) max_lon, round(min(lat), 6) min_lat, round(max(lat), 6) max_lat from (" + ORACLES["hammer_inverse"] + ")", name="hammer_extent")
+def hammer_extent(spark, sf):
+    x, y = (F.col("c") - 7) * 1_500_000.0, (F.col("r") % 10 - 5) * 900_000.0
+    lon, lat = projections.hammer_inverse(x, y)
+    ends = [f(v).alias(n) for v, a in ((lon, "lon"), (lat, "lat")) for f, n in ((F.min, f"min_{a}"), (F.max, f"max_{a}"))]
+    return derived.static(spark, sf).agg(*ends)
+
+
+_RESIDUAL = f"residual as (select d, r, c, coalesce(case when {{0}} - p > -20 and {{0}} - p < 20 then {{0}} - p end, 0) residual from (select *, 0.8::double * pmw + 20 * ndvi + 55 p from coarse))"
+
+
+def _scored(rows: DataFrame) -> DataFrame:
+    """A stand-in for the model that SQL can follow."""
+    return rows.withColumn("predicted", 0.8 * F.col("pmw") + 20 * F.col("ndvi") + 55)
+
+
+def _both(spark, sf) -> DataFrame:
+    v, p = derived.virr(spark, sf).withColumnRenamed("lst", "virr"), derived.pmw(spark, sf).withColumnRenamed("lst", "pmw")
+    cells = derived.era5(spark, sf).select("d", "r", "c")
+    return cells.join(v, ["d", "r", "c"], "left").join(p, ["d", "r", "c"], "left").join(derived.static(spark, sf), ["r", "c"])
+
+
+_CLEAR = "case when not coalesce(virr - pmw < case when dem > 4000 or ndvi < 0.05 then -18 else -8 end, false) then virr end"
+
+
+@query(
+    f"""select d, r, c, round(coalesce({_CLEAR}, case when p + residual between 220 and 330 then p + residual end), 5) lst from (
+          select f.*, 0.8::double * pmw + 20 * ndvi + 55 p, coalesce(s.residual, 0) residual from fine_rows f left join spread s using (d, r, c))""",
+    more=_GRID
+    + ", coarse as (select e.d, e.r, e.c, v.lst virr, p.lst pmw, s.ndvi, s.dem from era5 e left join virr v using (d, r, c) left join pmw p using (d, r, c) join static s using (r, c)), "
+    + _RESIDUAL.format(f"({_CLEAR})")
+    + ", spread as (" + sql.resized("residual", "residual", "fine", "(select nr from rows_)", "15", "(select 2 * nr from rows_)", "30", "bspline") + ")"
+    + ", fine_rows as (select x.d, f.r, f.c, case when (f.r + f.c) % 3 > 0 then x.virr end virr, x.pmw + 0.25 * (f.r % 2) pmw, x.ndvi + 0.01 * (f.c % 2) ndvi, x.dem + 10 * (f.r % 2) dem from fine f join coarse x on x.r = f.r // 2 and x.c = f.c // 2)",
+    places=5,
+)
+def fusion_residual(spark, sf):
+    """Fusion on the fine grid: the coarse residual, spread by B-splines, corrects the fine prediction."""
+    rows = _rows(spark, sf)
+    low, high = (rows, 15), (2 * rows, 30)
+    both = _both(spark, sf)
+    near = [F.explode(F.array(F.lit(0), F.lit(1))).alias(k) for k in ("dr", "dc")]
+    fine = both.select("*", near[0]).select("*", near[1]).select(
+        "d", (F.col("r") * 2 + F.col("dr")).alias("r"), (F.col("c") * 2 + F.col("dc")).alias("c"),
+        F.when((F.col("r") * 2 + F.col("dr") + F.col("c") * 2 + F.col("dc")) % 3 > 0, F.col("virr")).alias("virr"), (F.col("pmw") + 0.25 * F.col("dr")).alias("pmw"),
+        (F.col("ndvi") + 0.01 * F.col("dc")).alias("ndvi"), (F.col("dem") + 10 * F.col("dr")).alias("dem"),
+    )
+    return models.fused_fine(_scored(fine), models.coarse_residual(_scored(both)), low, high)
+
+
+@query(
+    "select p.d, f.r, f.c from fine f join static s on s.r = f.r // 2 and s.c = f.c // 2 join pmw p on p.r = f.r // 2 and p.c = f.c // 2 where s.dem > 500",
+    more=_GRID,
+)
+def output_mask(spark, sf):
+    finer, rows = _finer(spark, sf)
+    known = finer.withColumn("dem", F.when(F.col("dem") - 10 * (F.col("r") % 2) > 500, F.col("dem")))
+    return downscale.output_mask(_dense(spark, sf), known, (rows, 15), (2 * rows, 30))
+
+
 # series -------------------------------------------------------------------------------------------------------------------
 
 _smooth, _smoothed = sql.smoothing("s0", [timeseries.WIDE, *[timeseries.NARROW] * 3])
@@ -375,6 +486,30 @@ def block_extremes(spark, sf):
     return block.groupBy("d").agg(F.max("t").alias("most"), F.min("t").alias("least_"), F.bool_or(F.col("t") > 300).alias("hot"))
 
 
+@query()
+def vegetation_chain(spark, sf):
+    """A vegetation series with gaps and invalid values, filled and smoothed inside the ROI."""
+    index = _dense(spark, sf).select("d", "r", "c", ((F.col("lst") - 230) / 60).alias("ndvi"))
+    return timeseries.vegetation_smoothed(index, "ndvi", derived.static(spark, sf))
+
+
+@query("select r, c, round(max(lst), 6) lst from pmw group by r, c")
+def period_max(spark, sf):
+    return derived.pmw(spark, sf).groupBy("r", "c").agg(F.max("lst").alias("lst"))
+
+
+@query("select r, c, min(d) filter (lst > 230) d, round(arg_min(lst, d) filter (lst > 230), 6) lst from pmw group by r, c")
+def first_valid_day(spark, sf):
+    rows = derived.pmw(spark, sf).withColumn("lst", F.when(F.col("lst") > 230, F.col("lst")))
+    return joins.first_valid(rows, "lst")
+
+
+@query("select distinct d from scene order by d limit 5")
+def first_days(spark, sf):
+    """The first five days, as the progress report shows them; the limit is the feature."""
+    return derived.scene(spark, sf).select("d").distinct().orderBy("d").limit(5)
+
+
 # distribution matching ----------------------------------------------------------------------------------------------------
 
 _FIT = "fit as (select d, lst tar, t ref from pmw join era5 using (d, r, c) join static using (r, c) where roi = 1 and lst > 220 and lst < 350 and t > 220 and t < 350)"
@@ -427,10 +562,7 @@ def cdf_breakpoints(spark, sf):
 
 @query("select d, r, c, round(row_number() over (partition by d order by lst, r, c) / count(*) over (partition by d)::double * 100, 6) p from pmw")
 def ecdf(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("d")
-    return derived.pmw(spark, sf).select("d", "r", "c", (F.row_number().over(w.orderBy("lst", "r", "c")) / F.count("lst").over(w) * 100).alias("p"))
+    return cdf.empirical(derived.pmw(spark, sf), "lst").select("d", "r", "c", "p")
 
 
 @query("select d, round(100 * count(*) filter (lst < 250) / count(lst)::double, 6) score from pmw group by d")
@@ -482,9 +614,89 @@ def confidence_metrics(spark, sf):
     return metrics.confident(_pairs(spark, sf), "virr", "t", radiometry.confidence(F.col("virr"), F.col("t")))
 
 
+# grids and status ------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """select d, scene, tile_r, tile_c, greatest(min_r, tile_r * 4) r0, least(max_r, tile_r * 4 + 3) r1, greatest(min_c, tile_c * 4) c0, least(max_c, tile_c * 4 + 3) c1
+       from ext join (select cast(k as int) tile_r from generate_series(0, 1000) g(k)) a on tile_r between min_r // 4 and max_r // 4
+                join (select cast(k as int) tile_c from generate_series(0, 4) g(k)) b on tile_c between min_c // 4 and max_c // 4""",
+    more="ext as (select d, scene, min(r) min_r, max(r) max_r, min(c) min_c, max(c) max_c from scene group by all)",
+)
+def scene_tiles(spark, sf):
+    """Which tiles of 4 x 4 cells each scene touches, and where."""
+    ends = [f(x).alias(f"{n}_{x}") for x in "rc" for f, n in ((F.min, "min"), (F.max, "max"))]
+    return mosaic.overlaps(derived.scene(spark, sf).groupBy("d", "scene").agg(*ends), 4)
+
+
+_GRIDS = "g as (select scene name, 10.0::double x0, 100.0::double y0, 0.25::double dx, 0.25::double dy, max(r) + 1 as \"rows\", max(c) + 1 cols, case when scene <> 'view' then 'EPSG:4326' end crs from scene group by scene)"
+
+
+def _grid_table(spark, sf):
+    shape = derived.scene(spark, sf).groupBy(F.col("scene").alias("name")).agg((F.max("r") + 1).alias("rows"), (F.max("c") + 1).alias("cols"))
+    place = [F.lit(v).alias(k) for k, v in (("x0", 10.0), ("y0", 100.0), ("dx", 0.25), ("dy", 0.25))]
+    return shape.select("*", *place, F.when(F.col("name") != "view", "EPSG:4326").alias("crs"))
+
+
+@query('select name, coalesce(crs, \'EPSG:4326\') crs, "rows", cols, dx, dy, x0 min_x, y0 max_y, x0 + dx * cols max_x, y0 - dy * "rows" min_y from g', more=_GRIDS)
+def grid_bounds(spark, sf):
+    return grids.bounds(_grid_table(spark, sf))
+
+
+@query('select a.name a, b.name b, a."rows" = b."rows" and a.cols = b.cols same from g a join g b on a.name < b.name', more=_GRIDS)
+def grid_equality(spark, sf):
+    return grids.same_grid(_grid_table(spark, sf))
+
+
+@query("select cast(y.k as int) r, cast(x.k as int) c, cast(null as double) v from generate_series(0, 19) y(k), generate_series(0, 14) x(k)")
+def empty_grid(spark, sf):
+    return grids.empty(spark, 20, 15, "v")
+
+
+@query("select p.d, p.r, p.c, round(case when s.dem > 1000 then lst end, 6) lst from pmw p left join static s using (r, c)")
+def masked_layer(spark, sf):
+    mask = derived.static(spark, sf).withColumn("dem", F.when(F.col("dem") > 1000, F.col("dem")))
+    return grids.masked(derived.pmw(spark, sf), "lst", mask, "dem")
+
+
+@query("select p_partkey, cast(p_size as smallint) a, cast(p_size as integer) b, cast(p_size as bigint) c, round(cast(cast(p_retailprice as float) as double), 6) f, cast(p_retailprice as double) g from part")
+def stored_types(spark, sf):
+    """Raster type codes as column types."""
+    kinds = {"a": ("p_size", 3), "b": ("p_size", 5), "c": ("p_size", 4), "f": ("p_retailprice", 6), "g": ("p_retailprice", 7)}
+    cast = [F.col(x).cast(radiometry.stored_type(code)).alias(n) for n, (x, code) in kinds.items()]
+    return derived.table(spark, sf, "part").select("p_partkey", *cast).withColumn("f", F.col("f").cast("double"))
+
+
+@query(
+    """select d, stage, cast(coalesce(n, 0) as bigint) n, case when n is null then 'missing' when n = 0 then 'empty' else 'ok' end status
+       from (select d, unnest(['raw', 'hot', 'matched']) stage from spine) left join (
+         select d, 'raw' stage, count(lst) n from pmw group by d union all
+         select d, 'hot', count(case when lst > 246 then lst end) from pmw where lst > 244.7 group by d union all
+         select d, 'matched', count(case when lst between 220 and 350 then lst end) from pmw join era5 using (d, r, c) group by d) using (d, stage)"""
+)
+def run_status(spark, sf):
+    """Pixels and status of every day and stage."""
+    raw = derived.pmw(spark, sf)
+    hot = raw.where("lst > 244.7").withColumn("lst", F.when(F.col("lst") > 246, F.col("lst")))
+    both = joins.registered(raw, derived.era5(spark, sf))
+    matched = both.withColumn("lst", F.when(radiometry.within(F.col("lst"), "cdf_keep"), F.col("lst")))
+    return joins.run_status(calendar.days(spark, derived.FIRST, derived.LAST), {"raw": raw, "hot": hot, "matched": matched})
+
+
+@query(
+    """select r0, c0, cast(coalesce(n, 0) as bigint) n, coalesce(n, 0) >= 20 ok from (
+         select distinct cast(floor(y * (select max(r) + 1 from static)) as int) // 4 * 4 r0, cast(floor(x * 15) as int) // 4 * 4 c0
+         from (values (0.1::double, 0.1::double), (0.25, 0.5), (0.0, 0.9)) v(y, x))
+       left join (select cast(r // 4 * 4 as int) r0, cast(c // 4 * 4 as int) c0, count(*) n from pmw join static using (r, c) where roi = 1 group by 1, 2) using (r0, c0)"""
+)
+def block_check(spark, sf):
+    """Blocks of the grid looked at before a long run: whether enough of them is there."""
+    return grids.enough(derived.pmw(spark, sf), "lst", derived.static(spark, sf), [(0.1, 0.1), (0.25, 0.5), (0.0, 0.9)], 4, 20)
+
+
 # regression and models --------------------------------------------------------------------------------------------------------
 
-_SAMPLES = "samples as (select e.d, e.r, e.c, e.t lst, s.ndvi, s.dem from era5 e join static s using (r, c) where day(e.d) <= 3)"
+_SAMPLES = "samples as (select e.d, e.r, e.c, e.t lst, s.ndvi, s.dem from era5 e join static s using (r, c))"
 _PLANE = """m as (select d, avg(lst) my, avg(ndvi) m1, avg(dem) m2, var_pop(ndvi) s11, var_pop(dem) s22, covar_pop(ndvi, dem) s12, covar_pop(ndvi, lst) s1y, covar_pop(dem, lst) s2y from samples group by d),
 pl as (select d, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) a, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) b, my, m1, m2 from m),
 fit as (select d, a, b, my - a * m1 - b * m2 k from pl)"""
@@ -518,7 +730,18 @@ def _finer(spark, sf):
 def pmw_downscale(spark, sf):
     """The microwave grid with its holes, over all days."""
     finer, rows = _finer(spark, sf)
-    return downscale.filled_downscaled(_dense(spark, sf), finer, (rows, 15), 2)
+    return downscale.filled_downscaled(_dense(spark, sf), finer, (rows, 15), (2 * rows, 30))
+
+
+@query(
+    """select m.d, m.r, m.c, round(arg_min(p.lst, [cast((p.r - m.r) * (p.r - m.r) + (p.c - m.c) * (p.c - m.c) as int), p.r, p.c]), 6) lst, any_value(f.ndvi) ndvi, any_value(f.dem) dem
+       from era5 m join pmw p on p.d = m.d join means f on f.r = m.r and f.c = m.c group by m.d, m.r, m.c""",
+    more=_GRID + ", means as (select r, c, round(ndvi + 0.005, 6) ndvi, round(dem + 5, 6) dem from static)",
+)
+def regression_samples(spark, sf):
+    """What each day's plane is fitted to: filled temperatures and averaged layers."""
+    finer, rows = _finer(spark, sf)
+    return downscale.regression_samples(_dense(spark, sf), finer, (rows, 15), (2 * rows, 30))
 
 
 @query("select d, r, c, (r * 31 + c * 17 + day(d)) % 10 < 7 train from pmw")
