@@ -6,14 +6,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import partitions
 
 ROUTED = "route int, docs binary, gaps binary, data binary"
 
 
-def routes_for(df: DataFrame) -> int:
-    """A few routes for each shuffle partition: what one route gathers must fit in a task's memory."""
-    return max(64, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def routes_for(df: DataFrame, each: int = 4) -> int:
+    """Routes, ``each`` for a shuffle partition: a task holds one route at a time, that part of what it reads."""
+    return max(64, each * partitions(df))
+
+
+def dealt(sent: DataFrame) -> DataFrame:
+    """Rows of ROUTED with their routes dealt evenly over the shuffle partitions, sorted by route."""
+    n = partitions(sent)
+    return sent.repartitionById(n, F.pmod(F.col("route"), F.lit(n))).sortWithinPartitions("route")
+
+
+def first_turn() -> int:
+    """Where a task begins when it deals out rows in turn: another place in each task, so that no route is every task's first."""
+    context = TaskContext.get()
+    return 7919 * context.partitionId() if context else 0
 
 
 def route_of(hashes: np.ndarray, routes: int) -> np.ndarray:
@@ -42,8 +58,8 @@ def lengthened(raw: bytes, width: int) -> np.ndarray:
 
 def narrow(values: np.ndarray) -> bytes:
     """Integers in the narrowest of 1, 2, 4 or 8 bytes that holds them all, after one byte that tells which."""
-    most = int(np.abs(values).max()) if len(values) else 0
-    width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w - 1))
+    low, high = (int(values.min()), int(values.max())) if len(values) else (0, 0)
+    width = next(w for w in (1, 2, 4, 8) if -(1 << (8 * w - 1)) <= low and high < 1 << (8 * w - 1))
     return bytes([width]) + values.astype(f"<i{width}").tobytes()
 
 
@@ -51,6 +67,15 @@ def widened(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"<i{raw[0]}", offset=1).astype(np.int64)
 
 
+def ids(names: np.ndarray) -> bytes:
+    """64-bit integers: the first, and the narrow steps from each to the next."""
+    return names[:1].astype("<i8").tobytes() + narrow(np.diff(names))
+
+
+def named(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.concatenate([np.frombuffer(raw, "<i8", 1), widened(raw[8:])]))
+
+
 def batch(rows: list[tuple]) -> pa.RecordBatch:
     route, docs, gaps, data = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,20 +29,29 @@ BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small in this session, however long its texts are."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Keep Arrow batches small in this session, however long its texts are.
+
+    Spark reads these settings when a plan runs, after an operator has returned, so they stay; they are only ever
+    lowered."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(f"spark.sql.execution.arrow.{name}"))
+        if now <= 0 or now > most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
+def partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one beside the warehouse where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or one inside the warehouse where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context = spark.sparkContext
         if context._jsc.sc().getCheckpointDir().isDefined():
             root = context._jsc.sc().getCheckpointDir().get()
         else:
-            root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-shared"
+            root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/corpus-scratch"
     return root.rstrip("/")
 
 
@@ -49,11 +59,26 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: What stored() wrote, and which of it small_side() found small.
+_small: weakref.WeakSet[DataFrame] = weakref.WeakSet()
+_folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there, and a lost executor costs nothing before it."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    _folders[kept] = path
+    return kept
+
+
+def forget(*kept: DataFrame) -> None:
+    """Remove what stored() wrote for these, once no plan that has still to run reads it."""
+    for df in kept:
+        path = _folders.pop(df, None)
+        if path:
+            drop(df.sparkSession, path)
 
 
 def drop(spark: SparkSession, *paths: str) -> None:
@@ -67,16 +92,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of a narrow table up to which it is broadcast: a few dozen MB.
-SMALL_ROWS = 1 << 20
+#: Rows of a narrow table, and bytes of its long columns, up to which it is broadcast: a few dozen MB.
+SMALL_ROWS, SMALL_BYTES = 1 << 20, 32 << 20
 
 
-def small_side(df: DataFrame) -> DataFrame:
-    """df, written, with a broadcast hint if it has at most SMALL_ROWS rows; else Spark joins it by shuffle.
+def small_side(df: DataFrame, *long: str) -> DataFrame:
+    """df, written, with a broadcast hint if it has at most SMALL_ROWS rows and SMALL_BYTES in its binary columns
+    ``long``; else Spark joins it by shuffle.
 
     For a few narrow columns that meet a table of texts or sets, which then need not move."""
     kept = stored(df, "side")
-    return F.broadcast(kept) if kept.count() <= SMALL_ROWS else kept
+    held = kept.agg(F.count(F.lit(1)), F.sum(sum((F.octet_length(c) for c in long), F.lit(0)))).first()
+    if held[0] > SMALL_ROWS or (held[1] or 0) > SMALL_BYTES:
+        return kept
+    hinted = F.broadcast(kept)
+    _folders[hinted] = _folders.pop(kept)
+    _small.add(hinted)
+    return hinted
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether small_side() gave df a broadcast hint."""
+    return df in _small
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until df has no such column."""
+    held, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        held.add(name.lower())
+        found.append(name)
+    return found
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[str], rank: str = "rank") -> DataFrame:

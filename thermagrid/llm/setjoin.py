@@ -20,12 +20,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .common import bounded_batches, small_side, stored
-from .components import connected
+from .common import bounded_batches, forget, fresh, partitions, small_side, stored
+from .components import connected, lowest
+from .filters import members_filter, passes
 from .textkit import mix, shingle_sets
 
 _U = np.uint64
@@ -36,16 +38,13 @@ DESIGNS = ((1, 3),)
 #: Elements and documents that a task holds before it sends their signatures.
 HELD_SHINGLES = 600_000
 HELD_DOCS = 60_000
-#: Documents of a candidate cluster that are compared at once.
+#: Distinct sets of a candidate cluster that are compared at once.
 BLOCK = 512
-#: Candidate clusters with more documents are cut up first, by prefixes of rare shingles.
-LARGE = 4096
-#: Bits of the filter that tells which documents' sets are needed: so many for each, and at most.
-FILTER_RATIO, FILTER_BITS = 16, 1 << 25
-#: Shingles whose frequency in a sample of documents of large clusters orders the prefixes, and documents of it.
-FREQUENT, SAMPLED = 1 << 16, 20_000
-#: Bytes of a signature that travel beside its route.
+#: Candidate clusters with more distinct sets are cut up first, by shingles that no other of their sets has.
+LARGE = 2 * BLOCK
+#: Bytes of a signature that travel beside its route, and of a shingle in a stored set.
 SENT = 5
+_DROPPED = _U(64 - 8 * SENT)
 
 
 def bands(percent: int) -> list[tuple[int, int]]:
@@ -136,43 +135,53 @@ def _stars(ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(edges[edges[:, 0] != edges[:, 1]], axis=0), order[first]
 
 
-def _pack(names: np.ndarray, of: np.ndarray, found: np.ndarray, routes: int) -> list[tuple]:
-    """A row for each route of what documents (by ascending index) send."""
+def _pack(names: np.ndarray, of: np.ndarray, found: np.ndarray, route_of: np.ndarray, routes: int) -> list[tuple]:
+    """A row for each route of the low ends of the hashes that documents (by ascending index) send."""
     rows = []
-    for route, at in blobs.split(blobs.route_of(found, routes), routes):
+    for route, at in blobs.split(route_of, routes):
         who, which = np.unique(of[at], return_inverse=True)
         gaps = np.diff(which, prepend=0)
         gaps = gaps.astype(np.uint8 if gaps.max() < 256 else np.uint32)
         short = np.ascontiguousarray(found[at].view(np.uint8).reshape(-1, 8)[:, :SENT])
-        rows.append((route, names[who].tobytes(), gaps.tobytes(), short.tobytes()))
+        rows.append((route, blobs.ids(names[who]), gaps.tobytes(), short.tobytes()))
     return rows
 
 
+def _sent(names: np.ndarray, of: np.ndarray, found: np.ndarray, routes: int, turn: int, equal: list[tuple[int, int]] | None = None) -> list[tuple]:
+    """Rows that let documents (by ascending index) meet on hashes.  What a task has of a hash is reduced to one document,
+    and edges from it to the others; edges are dealt out from ``turn`` on."""
+    edges, heads = _stars(names[of], found)
+    keep = np.sort(heads)
+    of, found = of[keep], found[keep]
+    rows = _pack(names, of, found, blobs.route_of(found, routes), routes)
+    pairs = np.concatenate([edges, np.array(equal or [], np.int64).reshape(-1, 2)])
+    for k, a in enumerate(range(0, len(pairs), 1 << 16)):
+        rows.append((-1 - (turn + k) % routes, None, None, pairs[a : a + (1 << 16)].tobytes()))
+    return rows
+
+
+def _unpacked(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of all that _pack sent to one route."""
+    ids, keys = [], []
+    for docs_, gaps, data in zip(*(group.column(c).to_pylist() for c in ("docs", "gaps", "data")), strict=True):
+        keys.append(blobs.lengthened(data, SENT))
+        step = np.frombuffer(gaps, np.uint8 if len(gaps) == len(keys[-1]) else np.uint32)
+        ids.append(blobs.named(docs_)[np.cumsum(step.astype(np.int64))])
+    return np.concatenate(ids), np.concatenate(keys)
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for (route,), group in blobs.keyed(batches, ["route"]):
         if route < 0:
             edges = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in group.column("data").to_pylist()])
         else:
-            ids, keys = [], []
-            for docs_, gaps, data in zip(*(group.column(c).to_pylist() for c in ("docs", "gaps", "data")), strict=True):
-                raw = np.frombuffer(data, np.uint8).reshape(-1, SENT)
-                full = np.zeros((len(raw), 8), np.uint8)
-                full[:, :SENT] = raw
-                keys.append(full.view(np.uint64).ravel())
-                step = np.frombuffer(gaps, np.uint8 if len(gaps) == len(raw) else np.uint32)
-                ids.append(np.frombuffer(docs_, np.int64)[np.cumsum(step.astype(np.int64))])
-            edges, _ = _stars(np.concatenate(ids), np.concatenate(keys))
+            edges, _ = _stars(*_unpacked(group))
         edges = np.unique(edges, axis=0)
         for a in range(0, len(edges), 1 << 16):
             part = edges[a : a + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], ["a", "b"])
 
 
-def _met(sent: DataFrame) -> DataFrame:
-    partitions = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sent.repartition(partitions, "route").sortWithinPartitions("route").mapInArrow(_meet, "a long, b long").distinct()
-
-
 def _candidates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b): every pair above the threshold is joined by a path of these edges.
 
@@ -185,20 +194,12 @@ def _candidates(docs: DataFrame, words: int, percent: int) -> DataFrame:
         ids: list[int] = []
         same: dict[tuple[int, int], int] = {}
         equal: list[tuple[int, int]] = []
-        held = turn = 0
+        held, turn = 0, blobs.first_turn()
 
         def flush() -> pa.RecordBatch:
             nonlocal sets, ids, same, equal, held, turn
-            of, found = all_signatures(sets, percent)
-            names = np.array(ids, np.int64)
-            edges, heads = _stars(names[of], found)
-            keep = np.sort(heads)
-            of, found = of[keep], found[keep]
-            rows = _pack(names, of, found, routes)
-            pairs = np.concatenate([edges, np.array(equal, np.int64).reshape(-1, 2)])
-            for a in range(0, len(pairs), 1 << 16):
-                turn += 1
-                rows.append((-1 - turn % routes, None, None, pairs[a : a + (1 << 16)].tobytes()))
+            rows = _sent(np.array(ids, np.int64), *all_signatures(sets, percent), routes, turn, equal)
+            turn += 7919
             sets, ids, same, equal, held = [], [], {}, [], 0
             return blobs.batch(rows)
 
@@ -220,70 +221,191 @@ def _candidates(docs: DataFrame, words: int, percent: int) -> DataFrame:
         if sets:
             yield flush()
 
-    return _met(docs.select("doc_id", "text").mapInArrow(send, blobs.ROUTED))
+    sent = docs.select("doc_id", "text").mapInArrow(send, blobs.ROUTED)
+    return blobs.dealt(sent).mapInArrow(_meet, "a long, b long")
 
 
-def _refined(members: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """members (__doc, cluster) with the large clusters cut up, and no pair above the threshold parted.
+def _unique_shares(sets: DataFrame) -> DataFrame:
+    """(rep, n): how many shingles of each set (rep, shingles) other sets have too, where there are any.
 
-    Chance meetings over lines that many documents hold can chain documents into a large cluster.  Two of its sets
-    that reach the threshold share a shingle among the first size - ceil(threshold * size) + 1 of each in any one
-    order of all shingles (prefix filter).  The order puts those frequent in a bounded sample last, so what is met
-    on is rare; the sample steers cost, never the result.
-    """
-    spark = members.sparkSession
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE)
-    total = sizes.agg(F.sum("n")).first()[0]
-    if not total:
-        return members
-    chosen = members.join(sizes.select("cluster"), "cluster", "left_semi").select("__doc")
-    sets = known.where("shingles is not null")
-    large = stored(sets.join(small_side(chosen), F.col("doc_id") == F.col("__doc")).select("doc_id", "shingles"), "large")
-    bar = min(1.0, SAMPLED / total)
-    sample = large.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(bar * (1 << 20)) + 1))
+    Hashes go by range to the tasks that count them.  A task sends a shingle once, and credits itself those that
+    several of its own sets have, so a shingle that a third of all sets have arrives once from each task."""
+    routes, spread = blobs.routes_for(sets), partitions(sets)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = blobs.first_turn()
+        for names, held in _piled(batches):
+            of = np.repeat(np.arange(len(held)), [len(x) for x in held])
+            h = np.concatenate(held)
+            order = np.argsort(h, kind="stable")
+            first = np.ones(len(h), bool)
+            first[1:] = h[order[1:]] != h[order[:-1]]
+            often = np.diff(np.append(np.flatnonzero(first), len(h))) > 1
+            heads, run = order[first], np.cumsum(first) - 1
+            own = np.bincount(of[order[often[run]]], minlength=len(held))
+            # shingles that several sets here have are sent without an owner
+            alone, shared = np.sort(heads[~often]), heads[often]
+            route_of = blobs.route_of(h << _DROPPED, routes)
+            rows = _pack(names, of[alone], h[alone], route_of[alone], routes) if len(alone) else []
+            for route, at in blobs.split(route_of[shared], routes):
+                rows.append((route, None, None, blobs.shortened(h[shared][at], SENT)))
+            full = np.flatnonzero(own)
+            turn += 1
+            rows.append((-1 - turn % routes, names[full].tobytes(), None, own[full].astype(np.int64).tobytes()))
+            yield blobs.batch(rows)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen, n = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in b.column(0).to_pylist()]), return_counts=True)
-            seen, n = seen[n > 1], n[n > 1]
-            yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(n, pa.int64())], ["shingle", "n"])
-
-    often = (
-        sample.select("shingles").mapInArrow(tally, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
-    )
-    keys = np.array([r["shingle"] for r in often], np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((keys[order], np.array([r["n"] for r in often], np.int64)[order]))
-    routes = blobs.routes_for(members)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = 0
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, weight = shared.value
-        for b in batches:
-            ids = b.column("doc_id").to_numpy()
+        def flush() -> pa.RecordBatch:
+            nonlocal held, waiting
+            names, n = _summed(held)
+            held, waiting = [], 0
+            to = blobs.route_of(mix(names.view(np.uint64)), spread)
+            return blobs.batch([(r, names[at].tobytes(), None, n[at].tobytes()) for r, at in blobs.split(to, spread)])
+
+        for (route,), group in blobs.keyed(batches, ["route"]):
+            if route < 0:
+                held.append(tuple(np.concatenate([np.frombuffer(x, np.int64) for x in group.column(c).to_pylist()]) for c in ("docs", "data")))
+            else:
+                owned = group.filter(group.column("docs").is_valid())
+                names, h = _unpacked(owned) if owned.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+                others = [blobs.lengthened(x, SENT) for x in group.filter(group.column("docs").is_null()).column("data").to_pylist()]
+                _, which, count = np.unique(np.concatenate([h, *others]), return_inverse=True, return_counts=True)
+                held.append(np.unique(names[count[which[: len(h)]] > 1], return_counts=True))
+            waiting += len(held[-1][0])
+            if waiting >= HELD_SHINGLES:
+                yield flush()
+        if waiting:
+            yield flush()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in blobs.keyed(batches, ["route"]):
+            rep, n = _summed([tuple(np.concatenate([np.frombuffer(x, np.int64) for x in group.column(c).to_pylist()]) for c in ("docs", "data"))])
+            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(n)], ["rep", "n"])
+
+    credits = blobs.dealt(sets.mapInArrow(send, blobs.ROUTED)).mapInArrow(tally, blobs.ROUTED)
+    return blobs.dealt(credits).mapInArrow(add, "rep long, n long")
+
+
+def _summed(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    names, which = np.unique(np.concatenate([x for x, _ in counts]), return_inverse=True)
+    return names, np.bincount(which, weights=np.concatenate([n for _, n in counts]), minlength=len(names)).astype(np.int64)
+
+
+def _prefix_edges(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of sets (rep, shingles): every pair above the threshold is joined by a path of these edges.
+
+    Two sets that reach the threshold share a shingle among the first size - ceil(threshold * size) + 1 of each in any
+    one order of all shingles (prefix filter).  The order is by the number of sets that have a shingle, so what is met on
+    is rare.  Sets are dealt into groups; a group sends each of its shingles once, with its count, to be counted over
+    all groups, and gets the counts of those that others have too."""
+    groups_ = partitions(sets)
+    dealt = sets.select(F.pmod(F.xxhash64("rep"), F.lit(groups_)).cast("int").alias("route"), F.col("rep"), F.col("shingles").alias("data"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (group,), rows in blobs.keyed(batches, ["route"]):
+            h, n = np.unique(np.concatenate([blobs.lengthened(x, SENT) for x in rows.column("data").to_pylist()]), return_counts=True)
+            to = blobs.split(blobs.route_of(h << _DROPPED, groups_), groups_)
+            yield blobs.batch([(route, np.int64(group).tobytes(), blobs.narrow(n[at]), blobs.shortened(h[at], SENT)) for route, at in to])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in blobs.keyed(batches, ["route"]):
+            group, counts, hashes = (rows.column(c).to_pylist() for c in ("docs", "gaps", "data"))
+            hashes = [blobs.lengthened(x, SENT) for x in hashes]
+            h, which = np.unique(np.concatenate(hashes), return_inverse=True)
+            n = np.bincount(which, weights=np.concatenate([blobs.widened(x) for x in counts])).astype(np.int64)
+            answers = []
+            for g, one in zip(group, hashes, strict=True):
+                often = n[np.searchsorted(h, one)]
+                one, often = one[often > 1], often[often > 1]
+                if len(one):
+                    answers.append((int(np.frombuffer(g, np.int64)[0]), None, blobs.narrow(often), blobs.shortened(one, SENT)))
+            if answers:
+                yield blobs.batch(answers)
+
+    routes = blobs.routes_for(sets)
+
+    def meet_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = blobs.first_turn()
+        for _, rows in blobs.keyed(batches, ["route"]):
+            known = rows.column("docs").is_null()
+            tables = rows.filter(known)
+            if not tables.num_rows:
+                continue
+            h = np.concatenate([blobs.lengthened(x, SENT) for x in tables.column("data").to_pylist()])
+            n = np.concatenate([blobs.widened(x) for x in tables.column("gaps").to_pylist()])
+            order = np.argsort(h)
+            h, n = h[order], n[order]
+            own = rows.filter(pc.invert(known))
             of, found = [], []
-            for i, x in enumerate(b.column("shingles").to_pylist()):
-                s = np.frombuffer(x, np.uint64)
-                prefix = len(s) - -(-percent * len(s) // 100) + 1
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                    n = np.where(frequent[at] == s, weight[at], 0)
-                    s = s[np.argsort(n, kind="stable")]
-                found.append(mix(s[:prefix] + _U(3)))
-                of.append(np.full(len(found[-1]), i))
-            yield blobs.batch(_pack(ids, np.concatenate(of), np.concatenate(found), routes))
-
-    edges = _met(large.select("doc_id", "shingles").mapInArrow(send, blobs.ROUTED))
-    parts = connected(edges)
-    # a document that no prefix joins with another links with nothing and leaves
-    cut = parts.union(parts.select("component", "component")).distinct().toDF("__doc", "cluster")
-    small = members.join(sizes.select("cluster"), "cluster", "left_anti").select("__doc", "cluster")
+            for i, packed in enumerate(own.column("data").to_pylist()):
+                s = blobs.lengthened(packed, SENT)
+                at = np.minimum(np.searchsorted(h, s), len(h) - 1)
+                often = np.where(h[at] == s, n[at], 1)
+                first = np.lexsort((s, often))[: len(s) - -(-percent * len(s) // 100) + 1]
+                first = first[often[first] > 1]
+                of.append(np.full(len(first), i))
+                found.append(mix(s[first] + _U(3)))
+            names = np.concatenate([np.frombuffer(x, np.int64) for x in own.column("docs").to_pylist()])
+            sent = _sent(names, np.concatenate(of), np.concatenate(found), routes, turn)
+            turn += 7919
+            if sent:
+                yield blobs.batch(sent)
+
+    answers = blobs.dealt(blobs.dealt(dealt).mapInArrow(count, blobs.ROUTED)).mapInArrow(total, blobs.ROUTED)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield blobs.batch([(r, np.int64(i).tobytes(), None, x) for r, i, x in zip(*(b.column(c).to_pylist() for c in ("route", "rep", "data")), strict=True)])
+
+    both = blobs.dealt(answers.union(dealt.mapInArrow(named, blobs.ROUTED)))
+    return blobs.dealt(both.mapInArrow(meet_on, blobs.ROUTED)).mapInArrow(_meet, "a long, b long")
+
+
+def _piled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """(rep, sets) of batches of (rep, shingles), about HELD_SHINGLES at a time."""
+    names, held, count = [], [], 0
+    for b in batches:
+        for rep, packed in zip(b.column("rep").to_pylist(), b.column("shingles").to_pylist(), strict=True):
+            names.append(rep)
+            held.append(blobs.lengthened(packed, SENT))
+            count += len(held[-1])
+            if count >= HELD_SHINGLES:
+                yield np.array(names, np.int64), held
+                names, held, count = [], [], 0
+    if held:
+        yield np.array(names, np.int64), held
+
+
+def _refined(placed: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """placed (rep, cluster) with the large clusters cut up, and no pair above the threshold parted.
+
+    Passages that many documents hold chain documents into large clusters by chance.  A set that reaches the threshold
+    with another has at least that percentage of its shingles in common with it; so one with fewer shingles that any
+    other set of the large clusters has links with nothing and leaves.  Those that stay meet by _prefix_edges."""
+    sizes = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE)
+    sizes = small_side(sizes.select("cluster"))
+    if sizes.isEmpty():
+        return placed
+    chosen = small_side(placed.join(sizes, "cluster", "left_semi").select("rep"))
+    sets = known.where("shingles is not null").join(chosen, F.col("doc_id") == F.col("rep")).select("rep", "shingles")
+    width = F.octet_length("shingles") / SENT
+    stay = _unique_shares(sets).withColumnRenamed("rep", "__rep").join(sets.select("rep", width.alias("width")), F.col("rep") == F.col("__rep"))
+    # a doc_id that repeats with several texts stays if one of them may
+    stay = small_side(stay.where(100 * F.col("n") >= percent * F.col("width")).select("__rep").distinct())
+    parts = connected(_prefix_edges(sets.join(stay, F.col("rep") == F.col("__rep"), "left_semi"), percent))
+    cut = parts.union(parts.select("component", "component")).distinct().toDF("rep", "cluster")
     # clusters are named by members, so names of cut and uncut ones differ
-    return stored(small.union(cut), "members")
+    done = stored(placed.join(sizes, "cluster", "left_anti").select("rep", "cluster").union(cut), "placed")
+    forget(parts, stay, chosen, sizes)
+    return done
 
 
-def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """For each set the index of the first set of its component under 100 * common >= percent * union."""
+def _linked(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> np.ndarray:
+    """For each set the index of the first set of its component under 100 * common >= percent * union; with side, only
+    sets of different sides are compared."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.float64)
     owner = np.repeat(np.arange(n), sizes.astype(int))
@@ -294,49 +416,59 @@ def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     column = renumber[column[shared]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    common = np.zeros((n, n), np.float32)
+    left = np.arange(n) if side is None else np.flatnonzero(side)
+    right = np.arange(n) if side is None else np.flatnonzero(~side)
+    common = np.zeros((len(left), len(right)), np.float32)
     width = 4096
     for a in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         x, y = np.searchsorted(column, (a, a + width))
         block = np.zeros((n, width), np.float32)
         block[owner[x:y], column[x:y] - a] = 1
-        common += block @ block.T
+        common += block[left] @ block[right].T
     common = common.astype(np.float64)
-    link = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
-    np.fill_diagonal(link, True)
+    i, j = np.nonzero(100 * common >= percent * (sizes[left, None] + sizes[None, right] - common))
     label = np.arange(n)
-    while True:
-        low = np.where(link, label[None, :], n).min(1)
-        low = low[low]
-        if (low == label).all():
-            return label
-        label = low
+    node, low = lowest(left[i], right[j])
+    label[node] = low
+    return label
 
 
-def _passes(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
-    slot = mix(names.astype(np.int64).view(np.uint64)) % _U(len(bits) * 8)
-    return (bits[(slot >> _U(3)).astype(np.int64)] >> (slot & _U(7)).astype(np.uint8)) & 1 == 1
+KNOWN = "doc_id long, n_shingles long, one long, two long, shingles binary"
 
 
-def _filter(members: DataFrame) -> np.ndarray | None:
-    """A bitmap of at most FILTER_BITS that every member passes and few others, or None for too many members."""
-    size = 1 << max(10, (FILTER_RATIO * members.count()).bit_length())
-    if size > FILTER_BITS:
-        return None
+def _known(docs: DataFrame, members: DataFrame, words: int, sizes: bool) -> DataFrame:
+    """KNOWN, written: size and 128-bit hash of the set of every document, and the set itself of members (__doc) and a
+    few others: the low end of each hash is left out.  With sizes False, only of those."""
+    bits = members_filter(members, "__doc")
+    if bits is None:  # too many for a bounded filter: the texts are joined with them
+        marked = docs.join(members.select("__doc").distinct(), F.col("doc_id") == F.col("__doc"), "left")
+    else:
+        marked = docs.withColumn("__doc", F.col("doc_id"))
+        bits = docs.sparkSession.sparkContext.broadcast(bits)
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(size, bool)
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bits[(mix(b.column(0).to_numpy().view(np.uint64)) % _U(size)).astype(np.int64)] = True
-        words = np.packbits(bits, bitorder="little").view(np.int64)
-        full = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(words[full])], ["word", "bits"])
+            inside = b.column("__doc").is_valid().to_numpy(zero_copy_only=False)
+            if bits is not None:
+                names = b.column("doc_id").fill_null(0).to_numpy()
+                inside &= passes(bits.value, names)
+            if not sizes:
+                b, inside = b.filter(pa.array(inside)), np.ones(int(inside.sum()), bool)
+            rows, start, pending = [], 0, 0
+            for row, found in shingle_sets(b.column("text"), words):
+                key = (int(mix(found).sum().view(np.int64)), int(mix(found + _U(9)).sum().view(np.int64)))
+                kept = blobs.shortened(np.unique(found >> _DROPPED), SENT) if inside[row] and len(found) else None
+                rows.append((len(found), *key, kept))
+                pending += len(found) * int(inside[row])
+                if pending > 1 << 20 or row == b.num_rows - 1:
+                    n, one, two, packed = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("doc_id").slice(start, row + 1 - start), *(pa.array(x, pa.int64()) for x in (n, one, two)), pa.array(packed, pa.binary())],
+                        [x.split()[0] for x in KNOWN.split(", ")],
+                    )
+                    rows, start, pending = [], row + 1, 0
 
-    out = np.zeros(size // 64, np.int64)
-    marks = members.select("__doc").mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    for r in marks.collect():  # at most FILTER_BITS / 64 rows
-        out[r["word"]] = r["bits"]
-    return out.view(np.uint8)
+    return stored(marked.select("doc_id", "__doc", "text").mapInArrow(collect, KNOWN), "sets")
 
 
 def groups(docs: DataFrame, words: int = 5, percent: int = 80, sizes: bool = True) -> DataFrame:
@@ -344,8 +476,9 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80, sizes: bool = Tru
 
     Two documents link when 100 * |A and B| >= percent * |A or B| over their sets of distinct word shingles;
     component_id is the smallest doc_id reachable by links, the document itself included.  Candidates come from shared
-    signatures; candidate clusters are then compared in full, in blocks of about BLOCK documents, so every pair of a
-    cluster is judged exactly and links are reduced to spanning edges before they leave a task.
+    signatures; equal sets are then one, and the sets of a candidate cluster are compared in full, in blocks of about
+    BLOCK, so every pair of a cluster is judged and links are reduced to spanning edges before they leave a task.
+    Shingles stand for themselves by 64-bit hashes, of which the comparison has the high 40 bits.
 
     A text with fewer words has one shingle, of all its words.  A null or empty text, or one without words, has none
     and links with nothing.  A null doc_id links with nothing and has a null component.  Repeated rows each give a row;
@@ -356,63 +489,53 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80, sizes: bool = Tru
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     clusters = connected(_candidates(docs, words, percent))
     members = stored(clusters.union(clusters.select("component", "component")).distinct().toDF("__doc", "cluster"), "members")
-    bits = _filter(members)
-    if bits is None:  # too many for a bounded filter: the texts are joined with them
-        marked = docs.join(members.select("__doc"), F.col("doc_id") == F.col("__doc"), "left")
-    else:
-        marked = docs.withColumn("__doc", F.col("doc_id"))
-        bits = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            inside = b.column("__doc").is_valid().to_numpy(zero_copy_only=False)
-            if bits is not None:
-                names = b.column("doc_id").fill_null(0).to_numpy()
-                inside &= _passes(bits.value, names)
-            if not sizes:
-                b, inside = b.filter(pa.array(inside)), np.ones(int(inside.sum()), bool)
-            counts, packed, pending = [], [], 0
-            start = 0
-            for row, found in shingle_sets(b.column("text"), words):
-                counts.append(len(found))
-                packed.append(found.tobytes() if inside[row] and len(found) else None)
-                pending += len(found) * int(inside[row])
-                if pending > 1 << 20 or row == b.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column("doc_id").slice(start, row + 1 - start), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())],
-                        ["doc_id", "n_shingles", "shingles"],
-                    )
-                    start, counts, packed, pending = row + 1, [], [], 0
-
-    known = stored(marked.select("doc_id", "__doc", "text").mapInArrow(collect, "doc_id long, n_shingles long, shingles binary"), "shingles")
-    # only narrow rows meet to be counted; the sets move once, to their block, unless there are too many of them
-    members = _refined(members, known, percent)
-    sized = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    placed = small_side(members.join(sized, "cluster"))
-    cut = known.where("shingles is not null").join(placed, F.col("doc_id") == F.col("__doc"))
-    cut = cut.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    forget(clusters)
+    known = _known(docs, members, words, sizes)
+    every = stored(known.select("doc_id", "n_shingles"), "sizes")
+    key = ["cluster", "n_shingles", "one", "two"]
+    inside = known.where("shingles is not null").select("doc_id", "n_shingles", "one", "two").join(members, F.col("doc_id") == F.col("__doc"))
+    equal = stored(inside.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "equal")
+    copies = inside.join(equal.where("copies > 1"), key).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    placed = stored(equal.select("rep", "cluster").distinct(), "placed")
+    ready = _refined(placed, known, percent)
+    sized = ready.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cluster", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    spots = small_side(ready.join(sized, "cluster"))
+    cut = known.where("shingles is not null").join(spots, F.col("doc_id") == F.col("rep"))
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    cut = cut.select("doc_id", "cluster", "shingles", "part", other)
-    cut = cut.select("doc_id", "cluster", "shingles", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
+    cut = cut.select("rep", "cluster", "shingles", "part", other)
+    cut = cut.select("rep", "cluster", "shingles", "part", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in blobs.keyed(batches, ["cluster", "x", "y"]):
-            ids = group.column("doc_id").to_numpy()
+        for (_, x, y), group in blobs.keyed(batches, ["cluster", "x", "y"]):
+            ids = group.column("rep").to_numpy()
             if len(ids) < 2:
                 continue
-            label = _linked([np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()], percent)
+            sets = [blobs.lengthened(s, SENT) for s in group.column("shingles").to_pylist()]
+            label = _linked(sets, percent, None if x == y else group.column("part").to_numpy() == x)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label])], ["a", "b"])
 
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut.repartition(partitions, "cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
-    found = connected(dealt.mapInArrow(compare, "a long, b long")).withColumnRenamed("node", "__node")
-    rows = known.join(found, F.col("doc_id") == F.col("__node"), "left")
+    dealt = cut.repartition(partitions(docs), "cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
+    found = connected(dealt.mapInArrow(compare, "a long, b long").union(copies))
+    forget(spots, ready, placed, equal, known, members)
+    rows = every.join(found.withColumnRenamed("node", "__node"), F.col("doc_id") == F.col("__node"), "left")
     return rows.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows whose doc_id isn't the smallest of its group; one row stays where a doc_id repeats within
-    equal texts is not decided here.  Rows without a doc_id stay."""
-    found = groups(docs, words, percent, sizes=False).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    found = small_side(found)
-    return docs.join(found, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """docs without the rows whose doc_id isn't the smallest of its group.
+
+    Of rows that share a doc_id one stays, the first by its columns as JSON: they are one document.  Rows without a
+    doc_id all stay, as they link with nothing.  Null, empty and short texts are as in groups(); other columns are
+    kept.  No rows: no rows."""
+    gone, more, row = fresh(docs, "__gone", "__again", "__row")
+    found = groups(docs, words, percent, sizes=False).where("component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    rows = docs.join(small_side(found), docs["doc_id"] == F.col(gone), "left_anti")
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(more))
+    again = small_side(again)
+    if again.isEmpty():
+        return rows
+    on = F.col("doc_id") == F.col(more)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = rows.join(again, on, "left_semi").groupBy("doc_id").agg(F.min_by(whole, F.to_json(whole)).alias(row)).select(f"{row}.*")
+    return rows.join(again, on, "left_anti").unionByName(one)
