@@ -1,9 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-TF-IDF passages of all documents, over the words of the benchmark, and the benchmark's items give a latent space by a
-distributed randomised SVD.  Passages whose cosine with an item reaches a bar are candidates, and so are all that hold
-enough of an item's words, common ones too, for the decision to be possible; a longest common subsequence of words and a
-check of the item's answer decide.
+TF-IDF passages of all documents, over the words of the benchmark, give a latent space by a distributed randomised SVD.
+Passages and items are compared there by cosine; for what comes near, a longest common subsequence of words in a window
+little wider than the item, and a check of the item's answer, decide.
 """
 
 from __future__ import annotations
@@ -17,23 +16,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, partitions
 from .textkit import FOLDED, Spans, chunks, words
 
-#: Words of a block; a passage is SPAN consecutive blocks and starts at every block.
-STEP, SPAN = 16, 3
-#: Words in a larger share of documents carry no weight in the latent space, unless an item has fewer than LEAST others.
-COMMON, LEAST = 0.05, 4
+#: Words of a block; a passage is two blocks and starts at every block.
+STEP = 32
 #: Dimensions of the latent space, and more that the sketch has.
-RANK, EXTRA = 208, 8
-#: Weight of a benchmark item in the decomposition, relative to all passages together.
-ITEM_WEIGHT = 1.0
-#: Cosine that makes a candidate; share of an item's words in common order that decides, alone or with the answer.
-COSINE, SURE, LIKELY, ANSWER = 0.35, 0.7, 0.5, 0.6
-#: Words of an item's end that are its answer.
-ANSWER_WORDS = 8
-#: Items that are searched for at once; the space must have a dimension for each.
-ITEMS = RANK
+RANK, EXTRA = 256, 8
+#: Words by frequency whose counts are held densely, and words of the items that one pass over the corpus searches for.
+DENSE, VOCABULARY = 512, 1 << 16
+#: Longer items are looked for by parts of at most so many words: the bits of one integer.
+PART = 64
+#: Share of an item that a passage must cover in the latent space to be a candidate.
+NEAR = 0.2
+#: Window of the decision, in steps of a fourth of the item; share of an item's words in common order that decides,
+#: alone or with the answer.
+WIDE, SURE, LIKELY, ANSWER = 7, 0.7, 0.5, 0.6
+#: Words of an item's end that are its answer; items of fewer words than SHORT are found only whole and in a row.
+ANSWER_WORDS, SHORT = 8, 12
+#: Features of the sketch that one row of the exchange holds.
+SLICE = 256
 
 
 def lcs(a: list[int], b: list[int]) -> int:
@@ -51,59 +53,96 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
+def window(size: int) -> tuple[int, int]:
+    """Width and step of the windows in which an item of so many words is looked for."""
+    return (size, 1) if size < SHORT else (WIDE * (size // 4), size // 4)
+
+
+def judged(item: list[int], text: list[int], low: int = 0, high: int | None = None) -> tuple[float, float] | None:
+    """(common, answer) of the best window of text that starts in [low, high), or None if the item is in none of them.
+
+    Windows start at every step from the start of the text."""
+    width, step = window(len(item))
+    tail, best = item[-ANSWER_WORDS:], None
+    for start in range(-(-low // step) * step, len(text) if high is None else min(high, len(text)), step):
+        part = text[start : start + width]
+        common = float(part == item) if len(item) < SHORT else lcs(item, part) / len(item)
+        if common >= LIKELY and not (best and common < best[0]):
+            answer = lcs(tail, part) / len(tail)
+            if common >= SURE or answer >= ANSWER:
+                best = max(best or (0.0, 0.0), (common, answer))
+    return best
+
+
 @dataclass
 class Items:
-    """A block of benchmark items: ids, their word hashes, and the words that make the features."""
+    """Benchmark items: ids, their word hashes, and the words that make the features."""
 
     ids: list[int]
     texts: list[np.ndarray]
-    vocabulary: np.ndarray  # sorted
-    idf: np.ndarray  # 0 for words that carry no weight
-
-    def vectors(self) -> np.ndarray:
-        out = np.zeros((len(self.ids), len(self.vocabulary)), np.float32)
-        for i, text in enumerate(self.texts):
-            np.add.at(out[i], np.searchsorted(self.vocabulary, text), 1.0)
-        out *= self.idf.astype(np.float32)
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
-
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Items by length, and how often each of them has each word (words x items) in the least type that holds a length."""
-        order = np.argsort([len(t) for t in self.texts], kind="stable")
-        out = np.zeros((len(self.vocabulary), len(order)), np.min_scalar_type(len(self.texts[order[-1]])))
-        for k, i in enumerate(order):
-            np.add.at(out[:, k], np.searchsorted(self.vocabulary, self.texts[i]), 1)
-        return order, out
-
-
-def _hashed(batch: pa.RecordBatch, vocabulary: np.ndarray) -> Iterator[tuple]:
+    vocabulary: np.ndarray  # sorted hashes
+    feature: np.ndarray  # of each word of the vocabulary: 0 is the most frequent
+    weight: np.ndarray  # of each feature
+
+    def features(self, i: int) -> np.ndarray:
+        return self.feature[np.searchsorted(self.vocabulary, self.texts[i])]
+
+    def vectors(self, parts: list[np.ndarray]) -> np.ndarray:
+        """TF-IDF of lists of features, as for passages."""
+        out = np.zeros((len(parts), len(self.vocabulary)), np.float32)
+        for row, part in zip(out, parts, strict=True):
+            np.add.at(row, part, 1.0)
+        return np.sqrt(out) * self.weight.astype(np.float32)
+
+
+class _Lookup:
+    """Position of each word hash in a sorted vocabulary, or -1, by its high bits."""
+
+    def __init__(self, vocabulary: np.ndarray):
+        self.vocabulary = vocabulary
+        self.bits = np.uint64(max(1, 64 - 4 - len(vocabulary).bit_length()))
+        starts = (vocabulary >> self.bits).astype(np.int64)
+        bound = np.searchsorted(starts, np.arange((1 << (64 - int(self.bits))) + 1)).astype(np.int32)
+        self.first, self.end = bound[:-1], bound[1:]
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        index = np.full(len(h), -1)
+        slot = (h >> self.bits).astype(np.int64)
+        at, end = self.first[slot], self.end[slot]
+        todo = np.flatnonzero(at < end)
+        at, end = at[todo], end[todo]
+        while len(todo):
+            hit = self.vocabulary[at] == h[todo]
+            index[todo[hit]] = at[hit]
+            at = at + 1
+            more = ~hit & (at < end)
+            todo, at, end = todo[more], at[more], end[more]
+        return index
+
+
+def _hashed(batch: pa.RecordBatch, lookup: _Lookup) -> Iterator[tuple]:
     """(first row, rows, word hashes, index of each word in the vocabulary or -1, first word of each row)."""
-    slots = np.full(1 << 16, False)
-    slots[(vocabulary >> np.uint64(48)).astype(np.int64)] = True
     for first, end, data, offsets in chunks(batch.column("text")):
         starts, ends, at = words(data, offsets)
         h = Spans(data, FOLDED).hash(starts, ends)
-        index = np.full(len(h), -1)
-        near = np.flatnonzero(slots[(h >> np.uint64(48)).astype(np.int64)])
-        if len(vocabulary) and len(near):
-            spot = np.minimum(np.searchsorted(vocabulary, h[near]), len(vocabulary) - 1)
-            hit = vocabulary[spot] == h[near]
-            index[near[hit]] = spot[hit]
-        yield first, end - first, h, index, at
+        yield first, end - first, h, lookup(h), at
 
 
 def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
     """Documents that hold each word of the vocabulary, and documents in all."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(len(vocabulary), np.int64), 0
+        total, n, lookup = np.zeros(len(vocabulary), np.int64), 0, _Lookup(vocabulary)
         for b in batches:
             n += b.num_rows
-            for _, rows, _, index, at in _hashed(b, vocabulary):
+            for _, rows, _, index, at in _hashed(b, lookup):
                 row = np.repeat(np.arange(rows), np.diff(at))
-                held = index >= 0
-                pairs = np.unique(row[held] * len(vocabulary) + index[held])
-                total += np.bincount(pairs % len(vocabulary), minlength=len(vocabulary))
+                held = np.flatnonzero(index >= 0)
+                # a word counts where its document differs from that of its last occurrence
+                order = held[np.argsort(index[held], kind="stable")]
+                fresh = np.ones(len(order), bool)
+                fresh[1:] = (index[order[1:]] != index[order[:-1]]) | (row[order[1:]] != row[order[:-1]])
+                total += np.bincount(index[order[fresh]], minlength=len(vocabulary))
         full = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(full, -1)), pa.array(np.append(total[full], n))], ["word", "n"])
 
@@ -116,236 +155,332 @@ def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, i
     return out, n
 
 
-def _passages(rows: int, index: np.ndarray, at: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(block of each weighted word, its word, row of each block, first word of each block); blocks never cross rows."""
+class _Counts:
+    """TF-IDF of passages: densely for the frequent features, as entries for the others.  The root of a count stands for
+    it, so that a word repeated over and over does not hide the words about it."""
+
+    def __init__(self, passage: np.ndarray, feature: np.ndarray, passages: int, items: Items):
+        self.passages, self.features = passages, len(items.vocabulary)
+        self.dense = min(DENSE, self.features)
+        weight = items.weight.astype(np.float32)
+        often = feature < self.dense
+        flat = np.bincount(passage[often] * self.dense + feature[often], minlength=passages * self.dense)
+        self.often = np.sqrt(flat.astype(np.float32)).reshape(passages, self.dense) * weight[: self.dense]
+        width = len(items.vocabulary)
+        key, n = np.unique(passage[~often] * width + feature[~often], return_counts=True)
+        self.passage, self.feature = np.divmod(key, width)
+        self.rare = np.sqrt(n.astype(np.float32)) * weight[self.feature]
+        squares = np.einsum("ij,ij->i", self.often, self.often) + np.bincount(self.passage, weights=self.rare**2, minlength=passages)
+        self.norm = np.sqrt(np.maximum(squares, 1e-12)).astype(np.float32)
+
+    def times(self, matrix: np.ndarray) -> np.ndarray:
+        """passages x features by matrix."""
+        out = self.often @ matrix[: self.dense]
+        if len(self.passage):
+            edge = np.flatnonzero(np.diff(self.passage, prepend=-1))
+            out[self.passage[edge]] += np.add.reduceat(matrix[self.feature] * self.rare[:, None], edge, axis=0)
+        return out
+
+    def add_transposed(self, by: np.ndarray, to: np.ndarray) -> None:
+        """to += features x passages by ``by``."""
+        to[: self.dense] += self.often.T @ by
+        if len(self.passage):
+            order = np.argsort(self.feature, kind="stable")
+            edge = np.flatnonzero(np.diff(self.feature[order], prepend=-1))
+            to[self.feature[order][edge]] += np.add.reduceat(by[self.passage[order]] * self.rare[order, None], edge, axis=0)
+
+
+def _blocks(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block of each word, row of each block, first block of each row); blocks never cross rows."""
     n_words = np.diff(at)
-    blocks = -(-n_words // STEP)
-    first = np.cumsum(blocks) - blocks
-    row = np.repeat(np.arange(rows), blocks)
-    start = at[:-1][row] + (np.arange(len(row)) - first[row]) * STEP
-    held = np.flatnonzero((index >= 0) & (idf[index] > 0))
-    of_row = np.searchsorted(at, held, "right") - 1
-    block = first[of_row] + (held - at[of_row]) // STEP
-    return block, index[held], row, start
-
-
-def _text(item: int, start: int, first: int, end: int) -> tuple[int, int]:
-    """Words of a row (first to end) that an item of so many words is compared with for the passage at start."""
-    low = max(first, start - STEP)
-    return low, min(end, max(start + STEP * (SPAN + 1), low + 2 * STEP + item + item // 4))
-
-
-def _holding(row: np.ndarray, index: np.ndarray, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(block of a passage, column of counts) of all passages whose compared text can have LIKELY of the item's words in common
-    order: the item's words that occur in it at all, each as often as in the item, are that many.
-
-    The bound loses nothing that the decision would accept.  A word counts once in a window of blocks: where it is at
-    least as many blocks behind its last occurrence as the window's part before it is long.  No sum is above an item's
-    length, so none leaves the type of counts for good.  Columns are by length, so those of one width lie together."""
-    n = len(row)
-    sizes = counts.sum(axis=0, dtype=np.int64)
-    least = np.ceil(LIKELY * sizes - 1e-9).astype(counts.dtype)
-    # one block before the passage, and the blocks from its start to the farthest end that _text gives
-    widths = 1 - -np.maximum(STEP * (SPAN + 1), 2 * STEP + sizes + sizes // 4) // STEP
-    held = np.flatnonzero(index >= 0)
-    if not len(held):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    of_row = np.searchsorted(at, held, "right") - 1
-    blocks = -(-np.diff(at) // STEP)
-    first = np.cumsum(blocks) - blocks
-    word, block = np.divmod(np.unique(index[held] * n + first[of_row] + (held - at[of_row]) // STEP), n)
-    gap = np.full(len(word), n)
-    again = np.flatnonzero((word[1:] == word[:-1]) & (row[block[1:]] == row[block[:-1]])) + 1
-    gap[again] = block[again] - block[again - 1]
-    order = np.argsort(block, kind="stable")
-    word, block, gap = word[order], block[order], gap[order]
-
-    def add(to: np.ndarray, word: np.ndarray, block: np.ndarray, how: np.ufunc) -> None:
-        cuts = np.searchsorted(block, np.arange(0, n + 4096, 4096))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if a < b:
-                edge = np.flatnonzero(np.diff(block[a:b], prepend=-1))
-                at = block[a:b][edge]
-                to[at] = how(to[at], np.add.reduceat(counts[word[a:b]], edge, axis=0, dtype=counts.dtype))
-
-    new, total = np.zeros((n, len(sizes)), counts.dtype), np.zeros((n, len(sizes)), counts.dtype)
-    add(new, word, block, np.add)
-    found = []
-    for k in range(int(widths.max())):
-        if k and (near := gap == k).any():
-            add(new, word[near], block[near], np.subtract)
-        if k < n:
-            total[: n - k] += new[k:] * (row[k:] == row[: n - k])[:, None]
-        u, v = np.searchsorted(widths, (k + 1, k + 2))
-        if u < v:
-            b, i = np.divmod(np.flatnonzero(total[:, u:v] >= least[u:v]), v - u)
-            found.append((b, i + u))
-    b, i = (np.concatenate(x) for x in zip(*found, strict=True))
-    inner = np.append(row[1:] == row[:-1], False)[b]
-    head = np.insert(row[1:] != row[:-1], 0, True)[b]
-    return np.append(b[inner] + 1, b[head]), np.append(i[inner], i[head])
+    n = -(-n_words // STEP)
+    first = np.cumsum(n) - n
+    row = np.repeat(np.arange(len(n)), n_words)
+    block = first[row] + (np.arange(at[-1]) - at[row]) // STEP
+    return block, np.repeat(np.arange(len(n)), n), first
 
 
 def _space(docs: DataFrame, items: Items) -> np.ndarray:
-    """Right singular vectors (words x RANK) of TF-IDF passages and items: B = A'(A W) for a random W, summed over all
-    tasks, then the Nystroem form of A'A; the driver sees one words x (RANK + EXTRA) array."""
+    """Right singular vectors (features x RANK) of the TF-IDF passages of docs, each of length 1: B = A'(A W) for a random
+    W, summed over all tasks, then the Nystroem form of A'A.  A direction with more than the mean energy is shortened
+    to it, so that what most passages share does not drown the rest.
+
+    A task sends its features x (RANK + EXTRA) sum in slices of SLICE features, and each slice is summed by itself, so
+    no task holds more than one task's sum; the driver sees one such array.  The items count as passages, too."""
     v = len(items.vocabulary)
     width = min(RANK + EXTRA, v)
-    rng = np.random.default_rng(5)
-    omega = rng.standard_normal((v, width)).astype(np.float32)
-    idf = items.idf.astype(np.float32)
+    omega = np.random.default_rng(5).standard_normal((v, width)).astype(np.float32)
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((v, width), np.float32)
+        total, lookup = np.zeros((v, width), np.float32), _Lookup(items.vocabulary)
         for b in batches:
-            for _, rows, _, index, at in _hashed(b, items.vocabulary):
-                block, word, row, start = _passages(rows, index, at, items.idf)
-                if not len(block):
+            for _, _, _, index, at in _hashed(b, lookup):
+                block, row, first = _blocks(at)
+                if not len(row):
                     continue
-                # disjoint passages of SPAN blocks inside a row
-                inside = np.arange(len(row)) - np.searchsorted(row, row)
-                head = (inside % SPAN == 0).astype(np.int64)
-                passage = (np.cumsum(head) - 1)[block]
-                norm = np.sqrt(np.bincount(passage, weights=idf[word] ** 2))
-                weight = (idf[word] / norm[passage]).astype(np.float32)
-                edge = np.flatnonzero(np.diff(passage, prepend=-1))
-                y = np.add.reduceat(omega[word] * weight[:, None], edge, axis=0)
-                y = y[np.cumsum(np.diff(passage, prepend=-1) > 0) - 1] * weight[:, None]
-                order = np.argsort(word, kind="stable")
-                edge = np.flatnonzero(np.diff(word[order], prepend=-1))
-                total[word[order][edge]] += np.add.reduceat(y[order], edge, axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+                # passages that don't overlap: two blocks of a row
+                head = (np.arange(len(row)) - first[row]) % 2 == 0
+                passage = np.cumsum(head) - 1
+                held = np.flatnonzero(index >= 0)
+                counts = _Counts(passage[block[held]], items.feature[index[held]], int(head.sum()), items)
+                counts.add_transposed(counts.times(omega) / counts.norm[:, None] ** 2, total)
+        slices = [(a // SLICE, total[a : a + SLICE].tobytes()) for a in range(0, v, SLICE)]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in slices], pa.int32()), pa.array([x for _, x in slices], pa.binary())], ["slice", "part"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((v, width), np.float64)
+        totals: dict[int, np.ndarray] = {}
         for b in batches:
-            for x in b.column("part"):
-                total += np.frombuffer(x.as_buffer(), np.float32 if len(x.as_buffer()) == 4 * v * width else np.float64).reshape(v, width)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+            for at, part in zip(b.column("slice").to_pylist(), b.column("part"), strict=True):
+                totals[at] = totals.get(at, 0.0) + np.frombuffer(part.as_buffer(), np.float32).astype(np.float64)
+        if totals:
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([x.tobytes() for x in totals.values()], pa.binary())], ["slice", "part"])
 
-    parts = docs.select("text").mapInArrow(product, "part binary")
-    some = parts.repartition(8).mapInArrow(add, "part binary")
+    parts = docs.select("text").mapInArrow(product, "slice int, part binary")
+    slices = parts.repartitionById(min(partitions(docs), -(-v // SLICE)), "slice").mapInArrow(add, "slice int, part binary")
     total = np.zeros((v, width))
-    for r in some.collect():  # 8 arrays of a fixed size
-        total += np.frombuffer(r["part"], np.float64).reshape(v, width)
-    # each item weighs ITEM_WEIGHT times as much as all passages together, so the space keeps the items apart
-    mass = max(1.0, float(np.einsum("ij,ij->", omega, total)) / width)
-    known = items.vectors().astype(np.float64) * math.sqrt(ITEM_WEIGHT * mass)
+    for r in slices.collect():  # features x (RANK + EXTRA) numbers in all
+        a = r["slice"] * SLICE
+        total[a : a + SLICE] = np.frombuffer(r["part"], np.float64).reshape(-1, width)
+    known = items.vectors([items.features(i) for i in range(len(items.ids))]).astype(np.float64)
+    known /= np.linalg.norm(known, axis=1, keepdims=True)
     total += known.T @ (known @ omega)
-    shift = 1e-8 * max(1.0, np.linalg.norm(total))
-    total += shift * omega
+    total += 1e-8 * max(1.0, np.linalg.norm(total)) * omega
     core = omega.T.astype(np.float64) @ total
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     values = np.maximum(values, values.max() * 1e-10)
-    left, _, _ = np.linalg.svd(total @ (vectors / np.sqrt(values)), full_matrices=False)
-    return left[:, : min(RANK, width)].astype(np.float32)
+    left, sigma, _ = np.linalg.svd(total @ (vectors / np.sqrt(values)), full_matrices=False)
+    keep = min(RANK, width)
+    energy = sigma[:keep] ** 2
+    return (left[:, :keep] / np.sqrt(energy + energy.mean())).astype(np.float32)
+
+
+class _Masks:
+    """For each part of an item and feature, the bits of the places that hold the feature: an open table in numpy."""
+
+    def __init__(self, parts: list[np.ndarray], features: int):
+        self.features = features
+        entries: dict[int, int] = {}
+        for p, part in enumerate(parts):
+            for place, feature in enumerate(part.tolist()):
+                key = p * features + feature
+                entries[key] = entries.get(key, 0) | 1 << place
+        size = 1 << max(4, (4 * len(entries)).bit_length())
+        self.keys, self.bits, self.last = np.full(size, -1), np.zeros(size, np.uint64), size - 1
+        for key, bits in entries.items():
+            at = (key * 0x9E3779B1 >> 7) & self.last
+            while self.keys[at] >= 0:
+                at = (at + 1) & self.last
+            self.keys[at], self.bits[at] = key, bits
+
+    def of(self, part: np.ndarray, feature: np.ndarray) -> np.ndarray:
+        """Bits of features (parts x words, -1 for none) for each part."""
+        out = np.zeros(feature.shape, np.uint64)
+        row, column = np.nonzero(feature >= 0)
+        key = part[row] * self.features + feature[row, column]
+        at, todo = (key * 0x9E3779B1 >> 7) & self.last, np.arange(len(key))
+        found = np.zeros(len(key), np.uint64)
+        while len(todo):
+            there = self.keys[at]
+            hit = there == key[todo]
+            found[todo[hit]] = self.bits[at[hit]]
+            more = ~hit & (there >= 0)
+            todo, at = todo[more], (at[more] + 1) & self.last
+        out[row, column] = found
+        return out
+
+
+def _common(masks: np.ndarray, size: int) -> np.ndarray:
+    """lcs() of many texts (rows of bits for each word) with items of one size, at most 64."""
+    full = np.uint64((1 << size) - 1)
+    v = np.full(len(masks), full)
+    for j in range(masks.shape[1]):
+        u = v & masks[:, j]
+        v = ((v + u) | (v - u)) & full
+    return size - np.bitwise_count(v).astype(np.int64)
+
+
+Found = dict[tuple[int, int], tuple[float, float, float]]
+
+
+class Search:
+    """What each task needs to find items, for one pass over the corpus."""
+
+    def __init__(self, items: Items, space: np.ndarray):
+        self.items, self.space = items, space
+        whole = [items.features(i) for i in range(len(items.ids))]
+        cuts = [np.array_split(x, -(-len(x) // PART)) for x in whole]
+        parts = [y for x in cuts for y in x]
+        self.item = np.repeat(np.arange(len(whole)), [len(x) for x in cuts])
+        self.size = np.array([len(x) for x in parts])
+        self.begin = np.concatenate([np.cumsum([0, *map(len, x[:-1])]) for x in cuts])
+        self.masks = _Masks(parts, len(items.vocabulary))
+        self.aims = items.vectors(parts) @ space
+        self.length = np.linalg.norm(self.aims, axis=1)
+        aims = (self.aims / np.maximum(self.length, 1e-9)[:, None] ** 2).T
+        # few parts: one product of passages with all of them; many: by way of the space
+        self.steps = [space @ aims] if len(parts) <= space.shape[1] else [space, aims]
+
+    def near(self, index: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(row of a passage, number of its first block there, part) of the candidates.
+
+        A passage covers of a part its cosine with it, times how much longer it is than the part: the cosine itself
+        falls with what stands around a short one."""
+        block, row, first = _blocks(at)
+        held = np.flatnonzero(index >= 0)
+        spot, feature = block[held], self.items.feature[index[held]]
+        # each block belongs to the passage it begins and to the one before it in its row
+        later = np.flatnonzero(spot > first[row[spot]]) if len(spot) else held
+        found = [(np.zeros(0, np.int64),) * 3]
+        for a in range(0, len(row), 1 << 13):
+            b = min(a + (1 << 13), len(row))
+            one = slice(*np.searchsorted(spot, (a, b)))
+            two = later[slice(*np.searchsorted(spot[later], (a + 1, b + 1)))]
+            counts = _Counts(np.concatenate([spot[one], spot[two] - 1]) - a, np.concatenate([feature[one], feature[two]]), b - a, self.items)
+            score = counts.times(self.steps[0])
+            for step in self.steps[1:]:
+                score = score @ step
+            p, i = np.nonzero(score >= NEAR)
+            found.append((row[p + a], p + a - first[row[p + a]], i))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def batch(self, b: pa.RecordBatch, lookup: _Lookup, sequences: list[list[int]]) -> Found:
+        """(row, item) of all items found in a batch's texts, with cosine, common and answer."""
+        found: Found = {}
+        for first, _, h, index, at in _hashed(b, lookup):
+            feature = np.where(index >= 0, self.items.feature[index], -1)
+            candidates = self.near(index, at)
+            sizes = self.size[candidates[2]]
+            best: dict[tuple[int, int], tuple[float, float, int, int]] = {}
+            for size in np.unique(sizes).tolist():
+                some = np.flatnonzero(sizes == size)
+                for a in range(0, len(some), 1 << 12):
+                    self._judge(size, [x[some[a : a + (1 << 12)]] for x in candidates], feature, h, at, sequences, best)
+            for (row, item), (common, answer, number, part) in best.items():
+                words_ = feature[at[row] + number * STEP : min(at[row + 1], at[row] + (number + 2) * STEP)]
+                passage = self.items.vectors([words_[words_ >= 0]])[0] @ self.space
+                cosine = float(passage @ self.aims[part] / max(1e-9, float(np.linalg.norm(passage)) * self.length[part]))
+                found[first + row, item] = (cosine, common, answer)
+        return found
+
+    def _judge(self, size: int, candidates: list[np.ndarray], feature: np.ndarray, h: np.ndarray, at: np.ndarray, sequences: list[list[int]], best: dict) -> None:
+        """Adds what is found of parts of one size to best: (row, item) to (common, answer, number of the passage, part).
+
+        Windows start between half a part before the passage and half a part before its end."""
+        row, number, part = candidates
+        width, step = window(size)
+        low = np.maximum(0, -(-(number * STEP - size // 2) // step))
+        windows = 2 * STEP // step + 1
+        place = (at[row] + low * step)[:, None] + np.arange((windows - 1) * step + width)
+        inside = place < at[row + 1][:, None]
+        masks = self.masks.of(part, np.where(inside, feature[np.minimum(place, len(feature) - 1)], -1))
+        pieces = np.bitwise_or.reduce(masks.reshape(len(row), -1, step), axis=2)
+        over = np.lib.stride_tricks.sliding_window_view(pieces, width // step, axis=1)
+        least = size if size < SHORT else LIKELY * size - 1e-9
+        # no window has more of the part in common order than it has of its words
+        k, w = np.nonzero(np.bitwise_count(np.bitwise_or.reduce(over, axis=2)) >= least)
+
+        def add(i: int, got: tuple[float, float] | None) -> None:
+            key = (int(row[i]), int(self.item[part[i]]))
+            if got and (key not in best or got > best[key][:2]):
+                best[key] = (float(got[0]), float(got[1]), int(number[i]), int(part[i]))
+
+        whole = np.bincount(self.item)[self.item[part]] == 1
+        for i, x in zip(k[~whole[k]].tolist(), w[~whole[k]].tolist(), strict=True):
+            sequence = sequences[self.item[part[i]]]
+            begin = int(low[i] + x) * step - int(self.begin[part[i]])
+            reach, pace = window(len(sequence))
+            start = max(0, begin - pace) // pace * pace
+            text = h[at[row[i]] + start : min(at[row[i] + 1], at[row[i]] + max(0, begin + pace) + reach)]
+            add(i, judged(sequence, text.tolist(), 0, max(0, begin + pace - start) + 1))
+        k, w = k[whole[k]], w[whole[k]]
+        for a in range(0, len(k), 1 << 14):
+            i, x = k[a : a + (1 << 14)], w[a : a + (1 << 14)]
+            held = masks[i[:, None], (x * step)[:, None] + np.arange(width)]
+            common = _common(held, size)
+            hit = np.flatnonzero(common >= least)
+            tail = min(ANSWER_WORDS, size)
+            answer = _common(held[hit] >> np.uint64(size - tail), tail) / tail
+            for y, share in zip(hit.tolist(), answer.tolist(), strict=True):
+                if common[y] >= SURE * size or share >= ANSWER:
+                    add(int(i[y]), (common[y] / size, share))
+
+
+def _searches(docs: DataFrame, benchmark: DataFrame) -> list[Search]:
+    """One for each VOCABULARY distinct words of the benchmark, whose items are a query set that the driver holds."""
+    rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").collect()
+    texts = []
+    for _, _, data, offsets in chunks(pa.array([r[1] for r in rows], pa.string())):
+        starts, ends, at = words(data, offsets)
+        texts += np.split(Spans(data, FOLDED).hash(starts, ends), at[1:-1])
+    passes: list[tuple[list[int], set[int]]] = []
+    for i, text in enumerate(texts):
+        if len(text):
+            own = set(text.tolist())
+            if not passes or len(passes[-1][1] | own) > VOCABULARY:
+                passes.append(([], set()))
+            passes[-1][0].append(i)
+            passes[-1][1].update(own)
+    found = []
+    for members, own in passes:
+        vocabulary = np.array(sorted(own), np.uint64)
+        df, n = _frequencies(docs, vocabulary)
+        order = np.argsort(-df, kind="stable")
+        feature = np.empty(len(order), np.int64)
+        feature[order] = np.arange(len(order))
+        weight = np.log((n + 1) / (df[order] + 1)) + 0.1
+        items = Items([rows[i][0] for i in members], [texts[i] for i in members], vocabulary, feature, weight)
+        found.append(Search(items, _space(docs, items)))
+    return found
+
+
+def _searched(batches: Iterator[pa.RecordBatch], searches: list[Search]) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int, tuple[float, float, float]]]]]:
+    ready = [(s, _Lookup(s.items.vocabulary), [t.tolist() for t in s.items.texts]) for s in searches]
+    for b in batches:
+        found = []
+        for search, lookup, sequences in ready:
+            found += [(row, search.items.ids[i], x) for (row, i), x in search.batch(b, lookup, sequences).items()]
+        yield b, sorted(found)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, cosine, common, answer) for each document and benchmark item found in it.
 
-    docs (doc_id, text) against benchmark (item_id, text), whose items are a query set that the driver holds, in blocks
-    of ITEMS.  Words fold A-Z.  Document frequencies, passages and the decomposition cover all documents.  A passage of
-    STEP * SPAN words that reaches COSINE with an item in the latent space, or has enough of its words to be accepted at
-    all, is compared, with a block more on both sides, by longest common subsequence: ``common`` is its share of the item's words, ``answer`` that of the item's
-    last ANSWER_WORDS words.  The item is found where common >= SURE, or common >= LIKELY and answer >= ANSWER.
+    docs (doc_id, text) against benchmark (item_id, text).  Words fold A-Z.  Document frequencies, passages and the
+    decomposition cover all documents.  Passages of 2 * STEP words, one from each STEP on, are compared with the items
+    in the latent space; where one covers NEAR of an item, windows of the text about it are judged.  An item is found
+    where a window of WIDE fourths of its length has a share ``common`` of its words in its order, of SURE or more, or
+    of LIKELY or more with a share ``answer`` of ANSWER or more of its last ANSWER_WORDS words.  An item of fewer than
+    SHORT words is found only whole, as so many common words come together by chance.  Items of more than PART words
+    are looked for by their parts and judged whole.  The candidate search is not lossless: see README for its recall.
 
     An item with null item_id, null or empty text, and a document with null or empty text, match nothing.  Rows that
-    repeat match each; equal items all match.  A null doc_id is carried along.  Other columns are ignored.
-    """
-    spark = docs.sparkSession
-    bounded_batches(spark)
+    repeat match each; equal items all match.  A null doc_id is carried along.  Other columns are ignored.  No rows, or
+    no items: no rows."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").collect()
-    kinds = "doc_id long, item_id long, cosine double, common double, answer double"
-    out = spark.createDataFrame([], kinds)
-    for a in range(0, len(rows), ITEMS):
-        part = rows[a : a + ITEMS]
-        texts = []
-        for _, _, data, offsets in chunks(pa.array([r[1] for r in part], pa.string())):
-            starts, ends, at = words(data, offsets)
-            texts += np.split(Spans(data, FOLDED).hash(starts, ends), at[1:-1])
-        full = [i for i, t in enumerate(texts) if len(t)]
-        if not full:
-            continue
-        texts, ids = [texts[i] for i in full], [part[i][0] for i in full]
-        vocabulary = np.unique(np.concatenate(texts))
-        df, n = _frequencies(docs, vocabulary)
-        idf = np.log((n + 1) / (df + 1)) + 0.1
-        light = df > COMMON * n
-        for text in texts:
-            own = np.searchsorted(vocabulary, text)
-            if (~light[own]).sum() < LEAST:
-                light[own] = False
-        items = Items(ids, texts, vocabulary, np.where(light, 0.0, idf))
-        out = out.union(_search(docs, items, _space(docs, items), kinds))
-    return out
+    shared = docs.sparkSession.sparkContext.broadcast(_searches(docs, benchmark))
 
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, found in _searched(batches, shared.value):
+            if found:
+                ids = b.column("doc_id").take(pa.array([row for row, _, _ in found]))
+                rest = [pa.array([item for _, item, _ in found], pa.int64()), *(pa.array([x[j] for _, _, x in found], pa.float64()) for j in range(3))]
+                yield pa.RecordBatch.from_arrays([ids, *rest], ["doc_id", "item_id", "cosine", "common", "answer"])
 
-def _search(docs: DataFrame, items: Items, space: np.ndarray, kinds: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((items, space, items.vectors() @ space, items.counts()))
+    return docs.mapInArrow(find, "doc_id long, item_id long, cosine double, common double, answer double")
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, space, aims, (by_length, counts) = shared.value
-        idf = items.idf.astype(np.float32)
-        weighted = space * idf[:, None]
-        sequences = [t.tolist() for t in items.texts]
-        for b in batches:
-            ids = b.column("doc_id").to_pylist()
-            best: dict[tuple[int, int], tuple[float, float, float]] = {}
-            for first, rows, h, index, at in _hashed(b, items.vocabulary):
-                block, word, row, start = _passages(rows, index, at, items.idf)
-                if not len(row):
-                    continue
-                holder, held = _holding(row, index, at, counts)
-                held = by_length[held]
-                if not len(block) and not len(holder):
-                    continue
-                order = np.argsort(holder, kind="stable")
-                holder, held = holder[order], held[order]
-                sums = np.zeros((len(row) + SPAN - 1, space.shape[1]), np.float32)
-                # a passage's squared norm counts a word of two of its blocks twice; that only lowers its cosine's bar
-                norm = np.zeros(len(row) + SPAN - 1, np.float32)
-                edge = np.flatnonzero(np.diff(block, prepend=-1))
-                if len(block):
-                    sums[block[edge]] = np.add.reduceat(weighted[word], edge, axis=0)
-                norm[: len(row)] = np.bincount(block, weights=idf[word] ** 2, minlength=len(row))
-                whole, squares = sums[: len(row)].copy(), norm[: len(row)].copy()
-                for k in range(1, SPAN):
-                    same = np.append(row[k:], np.full(k, -1))[: len(row)] == row
-                    whole += np.where(same[:, None], sums[k : k + len(row)], 0)
-                    squares += np.where(same, norm[k : k + len(row)], 0)
-                busy = np.union1d(np.flatnonzero(squares > 0), holder)
-                for a in range(0, len(busy), 4096):
-                    some = busy[a : a + 4096]
-                    cosine = (whole[some] @ aims.T) / np.sqrt(np.maximum(squares[some], 1e-12))[:, None]
-                    near = cosine >= COSINE
-                    u, v = np.searchsorted(holder, (some[0], some[-1] + 1))
-                    near[np.searchsorted(some, holder[u:v]), held[u:v]] = True
-                    for p, i in zip(*np.nonzero(near), strict=True):
-                        at_ = some[p]
-                        key = (first + int(row[at_]), int(i))
-                        if best.get(key, (0, 0, 0))[1] >= 1:
-                            continue
-                        item = sequences[i]
-                        low, high = _text(len(item), int(start[at_]), int(at[row[at_]]), int(at[row[at_] + 1]))
-                        text = h[low:high].tolist()
-                        common = lcs(item, text) / len(item)
-                        if common < LIKELY:
-                            continue
-                        tail = item[-ANSWER_WORDS:]
-                        answer = lcs(tail, text) / len(tail)
-                        if common >= SURE or answer >= ANSWER:
-                            best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (float(cosine[p, i]), common, answer), key=lambda x: x[1:])
-            if best:
-                found = sorted(best.items())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([ids[k[0]] for k, _ in found], pa.int64()),
-                        pa.array([items.ids[k[1]] for k, _ in found], pa.int64()),
-                        *(pa.array([x[j] for _, x in found], pa.float64()) for j in range(3)),
-                    ],
-                    ["doc_id", "item_id", "cosine", "common", "answer"],
-                )
-
-    return docs.mapInArrow(find, kinds)
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, in whose text no benchmark item is found, by the rules of matches().
+
+    Each row is judged by itself, so repeated and null doc_ids need no exception; a null or empty text stays."""
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(_searches(docs, benchmark))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, found in _searched(batches, shared.value):
+            stay = np.ones(b.num_rows, bool)
+            stay[[row for row, _, _ in found]] = False
+            yield b.filter(pa.array(stay))
+
+    return docs.mapInArrow(keep, docs.schema)
