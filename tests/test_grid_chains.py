@@ -185,22 +185,22 @@ def test_a_model_beats_the_mean_and_survives_its_file(spark, tmp_path):
     rows = derived.era5(spark, SF).join(derived.static(spark, SF), ["r", "c"])
     rows = rows.selectExpr("d", "r", "c", "t", "ndvi", "dem", "case when c <> 3 then t end as x", "t * 0.9 + 20 * ndvi as y")
     features = ["x", "ndvi", "dem"]
-    model = models.fitted(rows.where(models.is_training()), features, "y", maxIter=8, maxDepth=4)
+    model = models.fitted(rows.where(models.is_training()), features, "y", trees=60, depth=4)
     score = models.held_out(model, rows, features, "y").first()
     assert score.r2 > 0.5
-    models.saved(model, f"{tmp_path}/m")
-    done, again = (models.predicted(m, rows, features).orderBy("d", "r", "c").collect() for m in (model, models.loaded(f"{tmp_path}/m")))
+    models.saved(spark, model, f"{tmp_path}/m")
+    done, again = (models.predicted(m, rows, features).orderBy("d", "r", "c").collect() for m in (model, models.loaded(spark, f"{tmp_path}/m")))
     assert done == again and len(done) == rows.count() and all((r.predicted is None) == (r.c == 3) for r in done)
     for name in ("one", "two"):
-        models.logged(spark, f"{tmp_path}/log", name, model, metrics.regression(models.predicted(model, rows, features), "predicted", "y"))
+        models.logged(f"{tmp_path}/log", name, model, metrics.regression(models.predicted(model, rows, features), "predicted", "y"))
     log = spark.read.parquet(f"{tmp_path}/log").collect()
-    assert {r.model for r in log} == {"one", "two"} and all('"maxIter": 8' in r.parameters and r.r2 > 0.5 for r in log)
+    assert {r.model for r in log} == {"one", "two"} and all('"trees": 60' in r.parameters and r.r2 > 0.5 for r in log)
 
 
 def test_imputation_fills_the_region_and_keeps_raw_values(spark):
     rows = [(DAY + dt.timedelta(k), r, c, None if (r + c + k) % 5 == 0 else 280.0 + r, 280.0 + r, 0.5, int(c != 2)) for k in range(12) for r in range(8) for c in range(4)]
     df = spark.createDataFrame(rows, "d date, r int, c int, lst double, t double, ndvi double, roi int")
-    got = {(r.d, r.r, r.c): r.lst for r in models.imputed(df, ["t", "ndvi"], least=5, maxIter=5, maxDepth=4).collect()}
+    got = {(r.d, r.r, r.c): r.lst for r in models.imputed(df, ["t", "ndvi"], least=5, trees=60, depth=4).collect()}
     for d, r, c, lst, t, _, roi in rows:
         want = lst if lst is not None else pytest.approx(t, abs=1.5) if roi else None
         assert got[d, r, c] == want

@@ -3,23 +3,27 @@
 from __future__ import annotations
 
 import json
+import pickle
+from collections.abc import Iterator
+from dataclasses import asdict
 
 import numpy as np
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.ml.tuning import CrossValidator
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import dekad_num
 from ..functions.radiometry import clamped, cloud_free, within
+from . import boosting
+from .boosting import Boosted
 from .metrics import regression
 from .resample import Grid, warp
 
-#: Ranges that random search draws from (trees, depth, step, share of rows).
-IMPUTE_SPACE = {"maxIter": (100, 500), "maxDepth": (5, 12), "stepSize": (0.01, 0.11), "subsamplingRate": (0.8, 1.0)}
-FUSION_SPACE = {"maxIter": (200, 550), "maxDepth": (6, 12), "stepSize": (0.02, 0.12), "subsamplingRate": (0.7, 1.0)}
+#: Ranges that random search draws from.
+IMPUTE_SPACE = {"trees": (100, 500), "depth": (5, 12), "step": (0.01, 0.11), "rows": (0.8, 1.0), "columns": (0.8, 1.0), "gain": (0.0, 5.0), "weight": (1, 5)}
+FUSION_SPACE = {"trees": (200, 550), "depth": (6, 12), "step": (0.02, 0.12), "rows": (0.7, 1.0), "columns": (0.7, 1.0), "gain": (0.0, 3.0), "weight": (1, 5)}
+#: Rows that one model is fitted to at most; of more, a fixed part is taken by hash.
+FIT_ROWS = 1 << 17
 
 
 def is_training(share: int = 7):
@@ -27,37 +31,33 @@ def is_training(share: int = 7):
     return (F.col("r") * 31 + F.col("c") * 17 + F.dayofmonth("d")) % 10 < share
 
 
-def draws(model: GBTRegressor, space: dict, n: int, seed: int = 42) -> list[dict]:
-    rng = np.random.default_rng(seed)
-    found = []
-    for _ in range(n):
-        found.append({model.getParam(k): int(rng.integers(a, b)) if isinstance(a, int) else float(rng.uniform(a, b)) for k, (a, b) in space.items()})
-    return found
-
-
-def fitted(samples: DataFrame, features: list[str], label: str, weight: str | None = None, space: dict | None = None, tries: int = 25, folds: int = 5, metric: str = "r2", parallelism: int = 4, **fixed) -> GBTRegressionModel:
+def fitted(
+    samples: DataFrame, features: list[str], label: str, weight: str | None = None, space: dict | None = None, tries: int = 25, folds: int = 5, metric: str = "r2", most: int = FIT_ROWS, **fixed
+) -> Boosted:
     """Best model of a random search with cross-validation, or one fit with ``fixed`` parameters if no space is given.
 
-    Rows with a missing feature or label are left out.  Scores are not weighted."""
-    rows = samples.dropna(subset=[*features, label])
-    rows = VectorAssembler(inputCols=features, outputCol="features").transform(rows)
-    model = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="predicted", seed=42, **({"weightCol": weight} if weight else {}), **fixed)
-    if not space:
-        return model.fit(rows)
-    search = CrossValidator(
-        estimator=model, estimatorParamMaps=draws(model, space, tries), numFolds=folds, parallelism=parallelism, seed=42,
-        evaluator=RegressionEvaluator(labelCol=label, predictionCol="predicted", metricName=metric),
-    )
-    return search.fit(rows).bestModel
+    Rows with a missing feature, label or weight are left out; at least one must stay."""
+    rows = samples.dropna(subset=[*features, label, *([weight] if weight else [])])
+    if space:
+        return boosting.searched(rows, features, label, weight, space, tries, folds, metric, most)[0]
+    one = {k: (v, v + 1 if isinstance(v, int) else v) for k, v in fixed.items()}
+    return boosting.searched(rows, features, label, weight, one, 1, 2, metric, most)[0]
 
 
-def predicted(model: GBTRegressionModel, rows: DataFrame, features: list[str]) -> DataFrame:
+def predicted(model: Boosted, rows: DataFrame, features: list[str]) -> DataFrame:
     """rows with ``predicted``, NULL where a feature is missing; no row moves."""
-    full = F.lit(True)
-    for feature in features:
-        full = full & F.col(feature).isNotNull() & ~F.isnan(F.col(feature).cast("double"))
-    scored = model.transform(VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(rows))
-    return scored.withColumn("predicted", F.when(full, F.col("predicted"))).select(*rows.columns, "predicted")
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "predicted double"])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.stack([b.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in features], 1) if b.num_rows else np.zeros((0, len(features)))
+            full = np.isfinite(x).all(1)
+            out = np.full(b.num_rows, np.nan)
+            out[full] = shared.value.predict(x[full])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, mask=~full)], [*b.schema.names, "predicted"])
+
+    return rows.mapInArrow(apply, schema)
 
 
 def imputed(pixels: DataFrame, features: list[str], least: int = 0, **how) -> DataFrame:
@@ -113,21 +113,21 @@ def fused_fine(scored: DataFrame, residual: DataFrame, low: tuple[int, int], hig
     return both.select("d", "r", "c", _whole(F.col("predicted") + F.coalesce("residual", F.lit(0.0))).alias("lst"))
 
 
-def saved(model: GBTRegressionModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def saved(spark: SparkSession, model: Boosted, path: str) -> None:
+    spark.createDataFrame([(bytearray(pickle.dumps(model, protocol=5)), json.dumps(asdict(model.params)))], "model binary, parameters string").coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def loaded(path: str) -> GBTRegressionModel:
-    return GBTRegressionModel.load(path)
+def loaded(spark: SparkSession, path: str) -> Boosted:
+    """A model that saved() wrote; like any pickle, only from a folder that is trusted."""
+    return pickle.loads(bytes(spark.read.parquet(path).first()["model"]))
 
 
-def held_out(model: GBTRegressionModel, rows: DataFrame, features: list[str], label: str) -> DataFrame:
+def held_out(model: Boosted, rows: DataFrame, features: list[str], label: str) -> DataFrame:
     """One row of agreement on rows that were not trained on."""
     return regression(predicted(model, rows.where(~is_training()), features), "predicted", label)
 
 
-def logged(spark: SparkSession, path: str, name: str, model: GBTRegressionModel, scores: DataFrame) -> None:
+def logged(path: str, name: str, model: Boosted, scores: DataFrame) -> None:
     """Append one row of a training log: the model's name, its chosen parameters as JSON, and its scores."""
-    chosen = {k: model.getOrDefault(k) for k in ("maxIter", "maxDepth", "stepSize", "subsamplingRate")}
-    row = scores.select(F.lit(name).alias("model"), F.lit(json.dumps(chosen)).alias("parameters"), "*")
+    row = scores.select(F.lit(name).alias("model"), F.lit(json.dumps(asdict(model.params))).alias("parameters"), "*")
     row.withColumn("at", F.current_timestamp()).write.mode("append").parquet(path)
