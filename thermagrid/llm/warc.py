@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -12,7 +13,8 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, is_small, small_side
+from .filters import members_filter, passing
 
 #: Payloads of at least this many bytes are stored once.
 REVISIT_BYTES = 1000
@@ -26,7 +28,12 @@ _MAGIC = b"\x1f\x8b\x08"
 _BLOCK = 1 << 18
 #: Bytes inflated at once before the header is whole.
 _HEADER = 1 << 16
-RECORDS = "record_id string, record_type string, refers_to string, target string, payload_digest string, payload_bytes long, payload binary"
+RECORDS = (
+    "record_id string, record_type string, refers_to string, target string, payload_digest string, payload_bytes long, payload binary, "
+    "path string, at long, member_bytes long"
+)
+#: Bits of the bitmap of repeated digests where they are too many to be broadcast.
+BITMAP_BITS = 1 << 28
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -37,15 +44,21 @@ def planned(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """pages (page_id, url, html) as page_id, url, payload, digest, keeper: keeper is the page_id whose record holds the
     payload where another row repeats it, else null.
 
-    Digests are counted by a narrow aggregation of their own; only digests that repeat are joined back, so Spark can
-    broadcast them where they are few and splits the hot ones of a shuffled join where they are not."""
+    Digests are counted by a narrow aggregation of their own, and what repeats is broadcast where small_side allows it, so
+    that payloads need not move.  Beyond that, only payloads whose digest passes a bounded bitmap of the repeated ones
+    meet them in a shuffle, where Spark splits the hot ones."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    again = (
-        rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("keeper"))
-        .where("n > 1").select(F.col("digest").alias("__digest"), "keeper")
-    )
-    return rows.join(again, F.col("digest") == F.col("__digest"), "left").drop("__digest")
+    long = rows.where(F.octet_length("payload") >= least)
+    again = long.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("keeper")).where("n > 1")
+    again = small_side(again.select(F.col("digest").alias("__digest"), "keeper", F.xxhash64("digest").alias("__key")))
+    on = F.col("digest") == F.col("__digest")
+    if is_small(again):
+        return rows.join(again, on, "left").drop("__digest", "__key")
+    bits = members_filter(again, "__key", BITMAP_BITS, whole=True)
+    keyed = rows.withColumn("__of", F.when(F.octet_length("payload") >= least, F.xxhash64("digest")))
+    met = passing(keyed, "__of", bits, True).join(again, on, "left").drop("__digest", "__key", "__of")
+    return met.union(passing(keyed, "__of", bits, False).drop("__of").withColumn("keeper", F.lit(None).cast("long")))
 
 
 def _named(page_id: int | None) -> str:
@@ -168,8 +181,8 @@ def _member(window: _Window) -> tuple[dict[str, str], bytes, int] | None:
             return (head[0], block, used) if len(block) == length else None
 
 
-def scan(file: pa.NativeFile, start: int, end: int) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Records whose member starts in [start, end).  Looks for gzip magic, tries each find as a record, and after a
+def scan(file: pa.NativeFile, start: int, end: int) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
+    """(headers, block, place and bytes of the member) of records whose member starts in [start, end).  Looks for gzip magic, tries each find as a record, and after a
     record goes on where it ended; the last record may end beyond the range."""
     window = _Window(file, start)
     while window.at < end:
@@ -187,20 +200,24 @@ def scan(file: pa.NativeFile, start: int, end: int) -> Iterator[tuple[dict[str,
         if found is None:
             window.drop(1)
             continue
+        yield found[0], found[1], window.at, found[2]
         window.drop(found[2])
-        yield found[0], found[1]
 
 
 def read(spark: SparkSession, files: list[tuple[str, int]], split: int = SPLIT_BYTES) -> DataFrame:
     """Records of WARC files [(path, bytes)] as RECORDS, by tasks that each own a byte range of one file.
 
     payload is the HTTP body (null for a revisit); payload_bytes its length, for a revisit as its HTTP header says;
-    payload_digest bare lower-case hex, of a response computed from the bytes read.  Damaged members are skipped.
+    payload_digest bare lower-case hex, of a response computed from the bytes read.  path, at and member_bytes say where
+    the record was.  Damaged members are skipped: unread() tells how much of a file that is.
     """
-    parts = [(path, a, min(a + split, size)) for path, size in files for a in range(0, size, split)]
-    schema = "path string, start long, end long"
-    ranges = spark.createDataFrame(parts, schema)
-    ranges = ranges.repartition(len(parts), "path", "start") if parts else ranges
+    counts = [-(-size // split) for _, size in files]
+    total = sum(counts)
+    firsts = [0, *itertools.accumulate(counts)]
+    table = spark.createDataFrame([(path, size, first) for (path, size), first in zip(files, firsts, strict=False)], "path string, size long, first long")
+    starts = table.where("size > 0").select("path", "size", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))).alias("k", "start"), "first")
+    ranges = starts.select("path", "start", F.least(F.col("start") + split, F.col("size")).alias("end"), (F.col("first") + F.col("k")).cast("int").alias("part"))
+    ranges = ranges.repartitionById(max(1, total), "part").select("path", "start", "end")
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -209,7 +226,7 @@ def read(spark: SparkSession, files: list[tuple[str, int]], split: int = SPLIT_B
         def flush() -> pa.RecordBatch:
             nonlocal rows, held
             columns = zip(*rows, strict=True)
-            kinds = [pa.string()] * 5 + [pa.int64(), pa.binary()]
+            kinds = [pa.string()] * 5 + [pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
             names = [x.split()[0] for x in RECORDS.split(", ")]
             rows, held = [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -218,13 +235,14 @@ def read(spark: SparkSession, files: list[tuple[str, int]], split: int = SPLIT_B
             for part in b.to_pylist():
                 store, path = opened(part["path"])
                 with store.open_input_file(path) as file:
-                    for head, block in scan(file, part["start"], part["end"]):
+                    for head, block, at, used in scan(file, part["start"], part["end"]):
                         http, _, body = block.partition(b"\r\n\r\n")
                         said = re.search(rb"(?im)^content-length:\s*(\d+)", http)
                         revisit = head["WARC-Type"] == "revisit"
                         digest = head.get("WARC-Payload-Digest", "").rpartition(":")[2] if revisit else hashlib.sha1(body).hexdigest()
                         size = int(said[1]) if revisit and said else len(body)
-                        rows.append((head.get("WARC-Record-ID"), head["WARC-Type"], head.get("WARC-Refers-To"), head.get("WARC-Target-URI"), digest, size, None if revisit else body))
+                        names = [head.get(f"WARC-{x}") for x in ("Record-ID", "Type", "Refers-To", "Target-URI")]
+                        rows.append((*names, digest, size, None if revisit else body, part["path"], at, used))
                         held += len(body)
                         if held > 8 << 20 or len(rows) >= 10_000:
                             yield flush()
@@ -234,5 +252,13 @@ def read(spark: SparkSession, files: list[tuple[str, int]], split: int = SPLIT_B
     return ranges.mapInArrow(records, RECORDS)
 
 
+def unread(records: DataFrame, files: list[tuple[str, int]]) -> DataFrame:
+    """(path, bytes, records, unread): how many bytes of each file belong to no record that read() found."""
+    table = records.sparkSession.createDataFrame(files, "path string, bytes long")
+    found = records.groupBy("path").agg(F.count(F.lit(1)).alias("records"), F.sum("member_bytes").alias("n"))
+    none = F.lit(0).cast("long")
+    return table.join(found, "path", "left").select("path", "bytes", F.coalesce("records", none).alias("records"), (F.col("bytes") - F.coalesce("n", none)).alias("unread"))
+
+
 def page_id(name: str) -> Column:
     return F.regexp_extract(name, r"<urn:x-page:(-?\d+)>", 1).try_cast("long")
