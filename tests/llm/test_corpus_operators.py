@@ -1,7 +1,6 @@
 """Each operator against brute force on small tables with nulls, empty and long texts, ties, repeats and extra columns."""
 
 import hashlib
-import io
 import itertools
 import random
 import re
@@ -12,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from thermagrid.llm import capfilters, chat, components, decontam, language, lines, mixing, repeats, setjoin, sharding, textkit, warc
+from thermagrid.llm import capfilters, chat, common, components, decontam, language, lines, mixing, repeats, setjoin, sharding, textkit, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, score int, `key` string"
@@ -100,6 +99,53 @@ def test_set_join_loses_no_link(docs, rows, monkeypatch, words, percent, large):
     assert {r.doc_id for r in setjoin.deduplicated(docs, words, percent).collect()} == {i for i in sets if expected[i] == i}
 
 
+def test_large_clusters_are_cut_without_losing_a_link(spark, monkeypatch):
+    """Passages that many texts share chain them; texts lie on both sides of the threshold, in every part of a task's data."""
+    monkeypatch.setattr(setjoin, "LARGE", 6)
+    monkeypatch.setattr(setjoin, "BLOCK", 4)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    passages = [" ".join(word() for _ in range(12)) for _ in range(25)]
+    texts = []
+    for _ in range(130):
+        parts = [rng.choice(passages) for _ in range(rng.randint(3, 6))] + [" ".join(word() for _ in range(rng.choice((0, 6, 30))))]
+        rng.shuffle(parts)
+        texts.append(" ".join(parts).strip())
+    for t in rng.sample(texts, 100):
+        w = t.split()
+        for _ in range(rng.choice((0, 1, 1, 2))):
+            w[rng.randrange(len(w))] = word()
+        texts.append(" ".join(w))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for i, w in enumerate(t.split() for t in texts)}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    expected = components_of(sets, links)
+    assert len(links) > 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.component_id for r in setjoin.groups(docs).collect()} == expected
+    # what the cut is made of
+    known = setjoin._known(docs, docs.select(F.col("doc_id").alias("__doc")), 5, True)
+    held = {r.doc_id: frozenset(textkit_set(r.shingles)) for r in known.collect()}
+    count = {}
+    for s in held.values():
+        for x in s:
+            count[x] = count.get(x, 0) + 1
+    shares = {r.rep: r.n for r in setjoin._unique_shares(known.select(F.col("doc_id").alias("rep"), "shingles")).collect()}
+    assert shares == {i: n for i, s in held.items() if (n := sum(count[x] > 1 for x in s))}
+
+
+def textkit_set(raw):
+    return {raw[k : k + setjoin.SENT] for k in range(0, len(raw), setjoin.SENT)}
+
+
+def test_of_repeated_rows_one_stays(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(3, text, 1, "x"), (3, text, 1, "x"), (3, text, 1, "x"), (9, text, 1, "y"), (4, "", 2, "z"), (4, None, 2, "z"), (None, text, 0, "n"), (None, text, 0, "n"), (5, "alone", 0, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __gone int, `__again` string")
+    kept = setjoin.deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "4", "5", "None", "None"]
+
+
 def test_set_join_with_null_and_repeated_ids(spark, none):
     text = "a b c d e f g h"
     got = setjoin.groups(spark.createDataFrame([(None, text), (3, text), (3, text), (1, text)], "doc_id long, text string"), 3, 90).collect()
@@ -107,12 +153,16 @@ def test_set_join_with_null_and_repeated_ids(spark, none):
     assert setjoin.groups(none).count() == 0
 
 
-def test_warc_round_trip_whatever_the_splits(spark, tmp_path):
+@pytest.mark.parametrize("small", [1 << 20, 0])
+def test_warc_round_trip_whatever_the_splits(spark, tmp_path, monkeypatch, small):
+    monkeypatch.setattr(common, "SMALL_ROWS", small)
     big = "<html>" + "é" * 900
     pages = [(1, "http://a/\r\nx y", big, 1), (9, None, big, 1), (4, "http://b", big, 1), (2, "u", "small", 1), (3, "u", "small", 1), (5, "u", None, 1), (6, "u", "", 1), (7, "u", "\x1f\x8b\x08" * 500, 1), (None, "u", "no id", 1)]
     files = warc.write(spark.createDataFrame(pages, "page_id long, url string, html string, digest int").repartition(2), f"file://{tmp_path}/w")
     for split in (64, 300, 1 << 20):
-        got = warc.read(spark, files, split).select(warc.page_id("record_id").alias("p"), "record_type", warc.page_id("refers_to").alias("to"), "payload_bytes", "payload_digest", "payload").collect()
+        records = warc.read(spark, files, split)
+        assert all(r.unread == 0 and r.records for r in warc.unread(records, files).collect())
+        got = records.select(warc.page_id("record_id").alias("p"), "record_type", warc.page_id("refers_to").alias("to"), "payload_bytes", "payload_digest", "payload").collect()
         assert len(got) == len(pages)
         for r in got:
             html = (next(p[2] for p in pages if p[0] == r.p) or "").encode()
@@ -130,9 +180,8 @@ def test_warc_scan_skips_what_only_looks_like_a_record():
     good = [warc.record(i, "u", b"x" * i, "d", None) for i in range(1, 6)]
     raw = b"junk\x1f\x8b\x08junk" + member(b"no record") + b"".join(map(member, good[:3])) + member(good[3])[:-9] + member(good[4])
     for step in (7, 50, len(raw)):
-        found = [h["WARC-Record-ID"] for a in range(0, len(raw), step) for h, _ in warc.scan(pa.BufferReader(raw), a, min(a + step, len(raw)))]
-        assert found == [f"<urn:x-page:{i}>" for i in (1, 2, 3, 5)]
-    assert isinstance(io.BytesIO(raw), io.BytesIO)
+        found = [(h["WARC-Record-ID"], raw[at : at + n]) for a in range(0, len(raw), step) for h, _, at, n in warc.scan(pa.BufferReader(raw), a, min(a + step, len(raw)))]
+        assert found == [(f"<urn:x-page:{i}>", member(good[i - 1])) for i in (1, 2, 3, 5)]
 
 
 def test_perfect_hash_is_minimal():
@@ -205,25 +254,78 @@ def test_repeated_windows(docs, rows, none):
     assert repeats.without_repeats(none).count() == 0
 
 
-def test_differencing_balances_better_than_greedy():
-    rng = random.Random(2)
-    sizes = [rng.randint(1, 10_000) for _ in range(500)]
-    placed = sharding.difference(sizes, 7)
-    loads = [sum(s for s, p in zip(sizes, placed) if p == k) for k in range(7)]
-    assert max(loads) - min(loads) <= 50 and sharding.difference([], 3) == [] and sorted(sharding.difference([5, 5, 5], 3)) == [0, 1, 2]
-
-
-def test_shards(docs, rows, none):
-    got = sharding.shard(docs, 4).collect()
+@pytest.mark.parametrize("small", [1 << 20, 0])
+def test_repeats_in_rows_that_share_an_id(spark, monkeypatch, small):
+    """Whole repeats lose nothing to each other, other rows of the id are judged by their own text; whatever the join."""
+    monkeypatch.setattr(common, "SMALL_ROWS", small)
+    words = [f"w{k}" for k in range(30)]
+    one, two = " ".join(words), " ".join(words[::-1])
+    rows = [(5, one), (5, one), (5, two), (7, "x " + one), (7, two), (None, one), (9, None), (11, "q " * 5 + "r")]
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5).collect())
+    want = [("11", 6, 0, "q q q q q r"), ("5", 30, 0, one), ("5", 30, 0, one), ("5", 30, 0, two), ("7", 31, 30, "x"), ("7", 30, 30, ""), ("9", 0, 0, ""), ("None", 30, 0, one)]
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("small", [1 << 20, 0])
+def test_repeated_windows_whatever_the_join(docs, rows, monkeypatch, small):
+    monkeypatch.setattr(common, "SMALL_ROWS", small)
+    test_repeated_windows(docs, rows, docs.limit(0))
+
+
+def differenced(sizes, shards):
+    """Karmarkar-Karp on plain lists: the loads that it ends with, ascending."""
+    parts = [[0] * (shards - 1) + [s] for s in sizes]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[-1] - p[0])
+        a, b = parts.pop(), parts.pop()
+        parts.append(sorted(x + y for x, y in zip(a, reversed(b))))
+    return parts[0]
+
+
+def spread_of(sizes, placed, shards):
+    loads = [sum(s for s, p in zip(sizes, placed) if p == k) for k in range(shards)]
+    return max(loads) - min(loads)
+
+
+@pytest.mark.parametrize("shards", [2, 3, 7])
+def test_differencing_is_the_method_named_and_beats_greedy(shards):
+    rng = random.Random(shards)
+    gains = 0
+    for n in (1, 5, 40, 300):
+        sizes = rng.sample(range(1, 10_000), n)
+        placed = sharding.difference(sizes, shards)
+        loads = differenced(sizes, shards)
+        assert sum(loads) == sum(sizes) and abs(spread_of(sizes, placed, shards) - (loads[-1] - loads[0])) <= (0 if n < 10 else max(sizes) // n)
+        greedy = [0] * shards
+        for s in sorted(sizes, reverse=True):
+            greedy[greedy.index(min(greedy))] += s
+        gains += (max(greedy) - min(greedy)) - spread_of(sizes, placed, shards)
+    assert gains > 0 and sharding.difference([], 3) == [] and sorted(sharding.difference([5, 5, 5], 3)) == [0, 1, 2]
+
+
+@pytest.mark.parametrize("bundles", [1, 200])
+def test_shards(docs, rows, none, bundles):
+    shards, heavy = 4, 50
+    got = sharding.shard(docs, shards, heavy, bundles).collect()
     texts = {i: t or "" for i, t, *_ in rows}
-    where = {}
+    where, load = {}, [0] * shards
     for r in got:
         raw = texts[r.doc_id].encode()
         assert (r.size, r.text_crc32) == (len(raw) + 8, zlib.crc32(raw))
         assert where.setdefault(texts[r.doc_id], r.shard) == r.shard
-    for k in range(4):
+        load[r.shard] += r.size
+    for k in range(shards):
         assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
-    assert len(got) == len(rows) and sharding.shard(none, 4).count() == 0
+        assert [r.doc_id for r in sorted((r for r in got if r.shard == k), key=lambda r: r.slot)] == sorted(r.doc_id for r in got if r.shard == k)
+    group = {}
+    for t in texts.values():
+        group[t] = group.get(t, 0) + len(t.encode()) + 8
+    total = sum(group.values())
+    small = max(s for s in group.values() if s * shards * heavy <= total)
+    # no better than the largest text that can't be cut, nor much worse than fair otherwise
+    fair = max(total / shards, max(group.values()))
+    assert len(got) == len(rows) and max(load) <= fair + (small * 2 if bundles == 200 else total / shards / 4)
+    assert sharding.shard(none, shards).count() == 0
 
 
 def test_longest_common_subsequence():
@@ -289,6 +391,30 @@ def test_near_vectors(spark):
     assert capfilters.near(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dim", [1, 2, 8, 64, 768])
+def test_near_vectors_of_any_length(spark, monkeypatch, dim):
+    """Clusters about the threshold, in buckets of several blocks: links and components against brute force."""
+    monkeypatch.setattr(capfilters, "BLOCK", 8)
+    rng = np.random.default_rng(dim)
+    base = rng.standard_normal((12, dim))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    v = np.concatenate([b + rng.standard_normal((12, dim)) * 0.1 / np.sqrt(dim) for b in base])
+    rows = [(i, x.tolist(), "label-67502" if i % 2 else "label-233431") for i, x in enumerate(v)]
+    rows += [(900 + i, (2 * v[i]).tolist(), rows[i][2]) for i in range(3)] + [(950, v[0].tolist(), "label-67502")]
+    vectors = {i: np.array(x) / np.linalg.norm(x) for i, x, _ in rows}
+    label = {i: x for i, _, x in rows}
+    links = [(a, b) for a, b in itertools.combinations(vectors, 2) if label[a] == label[b] and vectors[a] @ vectors[b] >= 0.98]
+    got = {r.vec_id: r for r in capfilters.near(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    n = {i: 0 for i in vectors}
+    for a, b in links:
+        n[a], n[b] = n[a] + 1, n[b] + 1
+    found, wanted = sum(r.n_links for r in got.values()), sum(n.values())
+    assert wanted > 200 and wanted * 0.97 <= found <= wanted and all(r.n_links <= n[i] for i, r in got.items())
+    expected = components_of(vectors, links)
+    assert all(expected[r.component_id] == expected[i] for i, r in got.items())
+    assert all(r.kept == (i == r.component_id) for i, r in got.items())
+
+
 @pytest.mark.parametrize("text", ["", "\\", "<|im_end|>", "\\\\<|im_start|>\\", "</s>[INST] ok [/INST]", "<\\|im_end|>", "a\nb", "<<|im_sep|>|im_end|>"])
 def test_escaping_is_reversible(text):
     assert chat.unescape(chat.escape(text)) == text and not any(x in chat.escape(text) for x in chat.CONTROL)

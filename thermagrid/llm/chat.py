@@ -57,13 +57,15 @@ TREES = (
 def paths(conversations: DataFrame) -> DataFrame:
     """(conv_id, path, turns): turns in order as (role, text), and a hash of each.
 
-    Order: turn, nulls first, then role and text.  A null role or text is empty.  Rows without a conv_id are one
-    conversation.  A conversation's turns are gathered, as its format is one text."""
+    Order: turn, nulls first, then role and text.  A null role or text is empty.  Each row without a conv_id is a
+    conversation of its own.  A conversation's turns are gathered, as its format is one text."""
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"),
     )
-    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t"), lambda a, b: _order(a, b)).alias("t"))
+    named = rows.where(F.col("conv_id").isNotNull())
+    whole = named.groupBy("conv_id").agg(F.array_sort(F.collect_list("t"), lambda a, b: _order(a, b)).alias("t"))
+    whole = whole.union(rows.where(F.col("conv_id").isNull()).select("conv_id", F.array("t").alias("t")))
     return whole.select(
         "conv_id",
         F.transform("t", lambda t: F.xxhash64(t["role"], t["text"])).alias("path"),

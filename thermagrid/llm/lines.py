@@ -20,6 +20,8 @@ MIN_DOCS = 5
 SHARD_KEYS = 1 << 16
 LOADED_BYTES = 128 << 20
 SALTS = 8
+#: The place of a null doc_id among others: before all.
+NONE = -(1 << 63)
 _U = np.uint64
 
 
@@ -89,6 +91,19 @@ class Shard:
         return known & (self.counts[slot] >= min_docs) & (self.last[slot] != docs)
 
 
+_held: list = ["", {}]
+
+
+def _shards(path: str) -> dict[int, Shard]:
+    """The shards of an index; a worker keeps the last one it read for its next tasks."""
+    if _held[0] != path:
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        _held[:] = [path, {r["shard"]: Shard(r) for r in pq.read_table(folder, filesystem=store).to_pylist()}]
+    return _held[1]
+
+
 def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the lines of each row, and the index of each row's first line (one more than rows)."""
     breaks = np.flatnonzero(data == 10)
@@ -144,7 +159,7 @@ def index(docs: DataFrame, least: int = MIN_LENGTH, min_docs: int = MIN_DOCS) ->
         for b in batches:
             keys, names = [], []
             for _, ids, _, _, _, _, row, key, long in _long_lines(b, least):
-                named = np.array([-1 if i is None else i for i in ids], np.int64)
+                named = np.array([NONE if i is None else i for i in ids], np.int64)
                 order = np.lexsort((key[long], row[long]))
                 k, r = key[long][order], row[long][order]
                 fresh = np.ones(len(k), bool)
@@ -201,8 +216,8 @@ def deduplicate(docs: DataFrame, least: int = MIN_LENGTH, min_docs: int = MIN_DO
 
     Lines are split at \\n; a null or empty text is one empty line.  A line's key is the line without white space at
     both ends and with A-Z folded.  A key of at least ``least`` code points found in at least ``min_docs`` documents
-    loses all its lines except in the largest doc_id that holds it.  Each row counts as one document; rows that repeat
-    the largest doc_id all keep the line.  A null doc_id counts as smaller than any other.  Other columns are ignored.
+    loses all its lines except in the largest doc_id that holds it.  Each row counts as one document, so five rows of one
+    doc_id are five; rows that repeat the largest doc_id all keep the line.  A null doc_id comes before any other.  Other columns are ignored.
     No rows: no rows.
 
     Distinct repeated keys are indexed by a minimal perfect hash in shards of about SHARD_KEYS keys, with arrays of
@@ -236,14 +251,10 @@ def deduplicate(docs: DataFrame, least: int = MIN_LENGTH, min_docs: int = MIN_DO
     if size <= loaded:
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from pyarrow import fs
-
-            store, folder = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-            table = pq.read_table(folder, filesystem=store)
-            found = {r["shard"]: Shard(r) for r in table.to_pylist()}
+            found = _shards(path)
             for b in batches:
                 for _, ids, data, starts, ends, at, row, keys, long in _long_lines(b, least):
-                    named = np.array([-1 if i is None else i for i in ids], np.int64)
+                    named = np.array([NONE if i is None else i for i in ids], np.int64)
                     gone = np.zeros(len(keys), bool)
                     for shard, at_ in blobs.split(blobs.route_of(keys[long], shards), shards):
                         if shard in found:
@@ -257,7 +268,7 @@ def deduplicate(docs: DataFrame, least: int = MIN_LENGTH, min_docs: int = MIN_DO
         for b in batches:
             marks = b.column("mark").to_numpy()
             for first, ids, _, _, _, at, row, keys, long in _long_lines(b, least):
-                named = np.array([-1 if i is None else i for i in ids], np.int64)
+                named = np.array([NONE if i is None else i for i in ids], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys[long].view(np.int64)), pa.array(named[row[long]]), pa.array(marks[first + row[long]]), pa.array(long - at[row[long]])], ["key", "doc_id", "mark", "line"]
                 )
@@ -293,7 +304,7 @@ def deduplicate(docs: DataFrame, least: int = MIN_LENGTH, min_docs: int = MIN_DO
         both.mapInArrow(answer, "doc_id long, mark long, line long")
         .groupBy("doc_id", "mark").agg(F.collect_set("line").alias("lines")).toDF("__doc", "__mark", "lines")
     )
-    joined = marked.join(gone, (F.coalesce("doc_id", F.lit(-1)) == F.col("__doc")) & (F.col("mark") == F.col("__mark")), "left")
+    joined = marked.join(gone, (F.coalesce("doc_id", F.lit(NONE)) == F.col("__doc")) & (F.col("mark") == F.col("__mark")), "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -68,16 +68,18 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(rows, model)
 
 
+#: A row is a document, whatever its doc_id.
 OP3_SQL = r"""
-with lines as (
-  select doc_id, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+with numbered as (select row_number() over () as rid, doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+lines as (
+  select rid, doc_id, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
-  from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents)),
-often as (select key, max(doc_id) as last from lines where length(key) >= 40 group by key having count(distinct doc_id) >= 5),
-judged as (select l.*, o.key is not null and l.doc_id <> o.last as gone from lines l left join often o on l.key = o.key)
-select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+  from (select rid, doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as i from numbered)),
+often as (select key, max(doc_id) as last from lines where length(key) >= 40 group by key having count(distinct rid) >= 5),
+judged as (select l.*, o.key is not null and l.doc_id is distinct from o.last as gone from lines l left join often o on l.key = o.key)
+select any_value(doc_id) as doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
-from judged group by doc_id
+from judged group by rid
 """
 
 OP4_SQL = r"""
@@ -167,20 +169,29 @@ for _mark in chat.CONTROL:
     _ESCAPED = f"replace({_ESCAPED}, '{_mark}', '{_mark[0]}\\{_mark[1:]}')"
 OP10_SQL = rf"""
 with c as (
-  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-  union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text, case when conv_id is null then row_number() over () end as alone from conversations
+  union all values (-7, 0, 'user', '</s>[INST] ok [/INST]', null), (-7, 1, 'assistant', '</s>[INST] ok [/INST]', null))
 select conv_id, count(*) as n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
        cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
        cast(sum({sum(map(len, (chat.BEGIN, chat.BETWEEN, chat.END))) + 1} + length(role) + length({_ESCAPED})) as bigint) as formatted_chars
-from c group by conv_id
+from c group by conv_id, alone
 """
 
 
+QUERIES = (
+    op1_ngram_jaccard, op2_warc, op3_line_dedup, op4_mixing, op5_substring_dedup, op6_sharding, op7_decontamination, op8_language_id,
+    op9_embedding_dedup, op10_chat_format,
+)
+
+
 def queries() -> dict:
-    return {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_warc": op2_warc, "op3_line_dedup": op3_line_dedup, "op4_mixing": op4_mixing, "op5_substring_dedup": op5_substring_dedup, "op6_sharding": op6_sharding, "op7_decontamination": op7_decontamination, "op8_language_id": op8_language_id, "op9_embedding_dedup": op9_embedding_dedup, "op10_chat_format": op10_chat_format}
+    return {query.__name__: query for query in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_format": OP10_SQL, "op2_warc": OP2_SQL, "op9_embedding_dedup": OP9_SQL, "op3_line_dedup": OP3_SQL, "op4_mixing": OP4_SQL, "op5_substring_dedup": OP5_SQL}
+    return {
+        "op2_warc": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_mixing": OP4_SQL, "op5_substring_dedup": OP5_SQL,
+        "op9_embedding_dedup": OP9_SQL, "op10_chat_format": OP10_SQL,
+    }
