@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar, projections, radiometry
 from ..operators import cdf, downscale, joins, metrics, models, mosaic, resample, timeseries
-from ..sources import derived, grids
-from . import sql
+from ..sources import derived, grids, storage
+from . import sql, stages
 
 #: Gate for pixels a day or dekad; the production gates of 100 to 1000 need larger grids than the test tables give.
 LEAST = 10
@@ -744,6 +744,26 @@ def regression_samples(spark, sf):
     return downscale.regression_samples(_dense(spark, sf), finer, (rows, 15), (2 * rows, 30))
 
 
+def _layers(spark, sf) -> stages.Layers:
+    finer, rows = _finer(spark, sf)
+    near = [F.explode(F.array(F.lit(0), F.lit(1))).alias(k) for k in ("dr", "dc")]
+    virr = derived.virr(spark, sf)
+    spread = virr.select("*", near[0]).select("*", near[1])
+    fine_virr = spread.select("d", (F.col("r") * 2 + F.col("dr")).alias("r"), (F.col("c") * 2 + F.col("dc")).alias("c"), F.col("lst").alias("virr"))
+    days = calendar.days(spark, derived.FIRST, derived.LAST)
+    return stages.Layers(days, derived.pmw(spark, sf), virr, derived.era5(spark, sf), derived.static(spark, sf), fine_virr, finer, (rows, 15), (2 * rows, 30))
+
+
+@query(places=4)
+def daily_products(spark, sf):
+    """The whole chain over all days: pixels and values of every day and stage, with plain formulas for the models."""
+
+    def impute(rows):
+        return rows.withColumn("predicted", F.col("t") - 4 * F.col("ndvi"))
+
+    return stages.report(stages.products(_layers(spark, sf), impute, _scored, storage.stored, least=LEAST))
+
+
 @query("select d, r, c, (r * 31 + c * 17 + day(d)) % 10 < 7 train from pmw")
 def train_split(spark, sf):
     return derived.pmw(spark, sf).select("d", "r", "c", models.is_training().alias("train"))
