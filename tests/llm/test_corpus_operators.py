@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from thermagrid.llm import capfilters, chat, common, components, decontam, language, lines, mixing, repeats, setjoin, sharding, textkit, warc
+from thermagrid.llm import capfilters, chat, common, components, decontam, filters, language, lines, mixing, repeats, setjoin, sharding, textkit, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, score int, `key` string"
@@ -79,15 +79,22 @@ def test_words_and_hashes_follow_the_contract():
             assert got == WORD.findall(column[first + row].as_py() or "")
 
 
-def test_components(spark):
+@pytest.mark.parametrize("settled", [1 << 20, 0])
+def test_components(spark, monkeypatch, settled):
+    monkeypatch.setattr(components, "SETTLED_EDGES", settled)
     pairs = [(5, 4), (4, 3), (3, 2), (9, 8), (7, 7), (2, 1), (8, 9), (20, 9), (1, 5)]
     got = dict(map(tuple, components.connected(spark.createDataFrame(pairs, "a long, b long")).collect()))
     assert got == {5: 1, 4: 1, 3: 1, 2: 1, 9: 8, 20: 8}
 
 
-@pytest.mark.parametrize(("words", "percent", "large"), [(3, 90, 4096), (5, 80, 4096), (5, 80, 2), (2, 50, 4096)])
-def test_set_join_loses_no_link(docs, rows, monkeypatch, words, percent, large):
+@pytest.mark.parametrize(("words", "percent", "large", "bounds"), [(3, 90, 4096, None), (5, 80, 4096, None), (5, 80, 2, None), (2, 50, 4096, None), (5, 80, 2, 0)])
+def test_set_join_loses_no_link(docs, rows, monkeypatch, words, percent, large, bounds):
+    """Whatever is cut, and with every bound for what is broadcast or settled in one task at nothing."""
     monkeypatch.setattr(setjoin, "LARGE", large)
+    if bounds is not None:
+        monkeypatch.setattr(filters, "MOST_BITS", bounds)
+        monkeypatch.setattr(common, "SMALL_ROWS", bounds)
+        monkeypatch.setattr(components, "SETTLED_EDGES", bounds)
     sets = {}
     for i, text, *_ in rows:
         w = WORD.findall(folded(text or ""))

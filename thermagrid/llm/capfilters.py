@@ -226,7 +226,11 @@ def near(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     parts = connected(linked.where("a <> b").select("a", "b")).withColumnRenamed("node", "rep")
     found = classes.select("class", "rep", "copies").join(others, "rep", "left").join(parts, "rep", "left")
     found = stored(
-        found.select(F.col("class").alias("__class"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("component")),
+        found.select(
+            F.col("class").alias("__class"),
+            (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"),
+            F.coalesce("component", "rep").alias("component"),
+        ),
         "found",
     )
     forget(linked, classes)

@@ -192,7 +192,11 @@ def read_back(packed: DataFrame, digest: Callable[[bytes], str]) -> DataFrame:
                         all_learned = "".join(learned)
                         said = "".join(f"{r}\n{t}\n" for r, t in turns)
                         done[leaf["node"]] = (
-                            len(turns), digest(said.encode("utf-8", "surrogatepass")), len(all_learned), digest(all_learned.encode("utf-8", "surrogatepass")), len(formatted)
+                            len(turns),
+                            digest(said.encode("utf-8", "surrogatepass")),
+                            len(all_learned),
+                            digest(all_learned.encode("utf-8", "surrogatepass")),
+                            len(formatted),
                         )
                     rows.append((leaf["conv_id"], *done[leaf["node"]]))
                 columns = zip(*rows, strict=True)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import scratch
+
 #: The white space of the contracts, as a regular expression class.
 SPACE = "[\\x20\\x09-\\x0D]"
 
@@ -43,22 +44,6 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one inside the warehouse where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        context = spark.sparkContext
-        if context._jsc.sc().getCheckpointDir().isDefined():
-            root = context._jsc.sc().getCheckpointDir().get()
-        else:
-            root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/corpus-scratch"
-    return root.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 #: What stored() wrote, and which of it small_side() found small.
 _small: weakref.WeakSet[DataFrame] = weakref.WeakSet()
 _folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()

@@ -21,9 +21,10 @@ def passes(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
     return (bits[(slot >> _U(3)).astype(np.int64)] >> (slot & _U(7)).astype(np.uint8)) & 1 == 1
 
 
-def members_filter(members: DataFrame, column: str, most: int = MOST_BITS, whole: bool = False) -> np.ndarray | None:
+def members_filter(members: DataFrame, column: str, most: int | None = None, whole: bool = False) -> np.ndarray | None:
     """Bytes of the bitmap.  Too many members for ``most`` bits: None, or with ``whole`` one of that size, which more
-    others pass.  The driver sees at most ``most`` bits."""
+    others pass.  The driver sees at most ``most`` bits, MOST_BITS if not given."""
+    most = MOST_BITS if most is None else most
     size = 1 << max(10, (RATIO * members.count()).bit_length())
     if size > most:
         if not whole:

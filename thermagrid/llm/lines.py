@@ -243,7 +243,8 @@ def deduplicate(docs: DataFrame, least: int = MIN_LENGTH, min_docs: int = MIN_DO
                 stay = np.flatnonzero(~gone[a:b]) + a
                 kept.append(b"\n".join([raw[x:y] for x, y in zip(starts[stay].tolist(), ends[stay].tolist(), strict=True)]))
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(np.diff(at)), pa.array(dropped), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_lines", "n_dropped", "kept"]
+            [pa.array(ids, pa.int64()), pa.array(np.diff(at)), pa.array(dropped), pa.array(kept, pa.binary()).cast(pa.string())],
+            ["doc_id", "n_lines", "n_dropped", "kept"],
         )
 
     schema = "doc_id long, n_lines long, n_dropped long, kept string"
@@ -270,7 +271,8 @@ def deduplicate(docs: DataFrame, least: int = MIN_LENGTH, min_docs: int = MIN_DO
             for first, ids, _, _, _, at, row, keys, long in _long_lines(b, least):
                 named = np.array([NONE if i is None else i for i in ids], np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[long].view(np.int64)), pa.array(named[row[long]]), pa.array(marks[first + row[long]]), pa.array(long - at[row[long]])], ["key", "doc_id", "mark", "line"]
+                    [pa.array(x) for x in (keys[long].view(np.int64), named[row[long]], marks[first + row[long]], long - at[row[long]])],
+                    ["key", "doc_id", "mark", "line"],
                 )
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +300,9 @@ def deduplicate(docs: DataFrame, least: int = MIN_LENGTH, min_docs: int = MIN_DO
     none = [F.lit(None).cast("binary").alias(c) for c in ("hash", "fingerprints", "counts", "last")]
     salt = F.pmod(F.xxhash64("doc_id", "line"), F.lit(SALTS)).cast("int")
     asked = asked.select(_shard_column(shards).alias("shard"), salt.alias("salt"), "key", "doc_id", "mark", "line", *none)
-    filed = spark.read.parquet(path).select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), *[F.lit(None).cast("long").alias(c) for c in ("key", "doc_id", "mark", "line")], "hash", "fingerprints", "counts", "last")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    blank = [F.lit(None).cast("long").alias(c) for c in ("key", "doc_id", "mark", "line")]
+    filed = spark.read.parquet(path).select("shard", salts, *blank, "hash", "fingerprints", "counts", "last")
     both = filed.union(asked).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("hash").isNull())
     gone = (
         both.mapInArrow(answer, "doc_id long, mark long, line long")

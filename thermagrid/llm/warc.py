@@ -215,7 +215,8 @@ def read(spark: SparkSession, files: list[tuple[str, int]], split: int = SPLIT_B
     total = sum(counts)
     firsts = [0, *itertools.accumulate(counts)]
     table = spark.createDataFrame([(path, size, first) for (path, size), first in zip(files, firsts, strict=False)], "path string, size long, first long")
-    starts = table.where("size > 0").select("path", "size", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))).alias("k", "start"), "first")
+    steps = F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))
+    starts = table.where("size > 0").select("path", "size", F.posexplode(steps).alias("k", "start"), "first")
     ranges = starts.select("path", "start", F.least(F.col("start") + split, F.col("size")).alias("end"), (F.col("first") + F.col("k")).cast("int").alias("part"))
     ranges = ranges.repartitionById(max(1, total), "part").select("path", "start", "end")
 
@@ -257,7 +258,8 @@ def unread(records: DataFrame, files: list[tuple[str, int]]) -> DataFrame:
     table = records.sparkSession.createDataFrame(files, "path string, bytes long")
     found = records.groupBy("path").agg(F.count(F.lit(1)).alias("records"), F.sum("member_bytes").alias("n"))
     none = F.lit(0).cast("long")
-    return table.join(found, "path", "left").select("path", "bytes", F.coalesce("records", none).alias("records"), (F.col("bytes") - F.coalesce("n", none)).alias("unread"))
+    left = F.col("bytes") - F.coalesce("n", none)
+    return table.join(found, "path", "left").select("path", "bytes", F.coalesce("records", none).alias("records"), left.alias("unread"))
 
 
 def page_id(name: str) -> Column:
