@@ -171,4 +171,4 @@ def test_grids_without_a_place_or_system(spark):
     table = spark.createDataFrame(rows, "name string, x0 double, y0 double, dx double, dy double, rows int, cols int, crs string")
     got = {r.name: (r.min_x, r.max_y, r.max_x, r.min_y, r.crs) for r in grids.bounds(table).collect()}
     assert got["a"] == (10, 20, 13, 18, "EPSG:6933") and got["b"] == (-180, 90, 180, -90, "EPSG:4326")
-    assert {(r.a, r.b): r.same for r in grids.same_grid(table).collect()} == {("a", "b"): False, ("a", "c"): True, ("b", "c"): False}
+    assert {r.name: r.as_name for r in grids.same_grid(table).collect()} == {"a": "a", "b": "b", "c": "a"}

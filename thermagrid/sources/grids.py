@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import file_date
@@ -123,15 +123,11 @@ def bounds(grids: DataFrame) -> DataFrame:
 
 
 def same_grid(grids: DataFrame) -> DataFrame:
-    """(a, b, same): every pair of grids by name, and whether cells of one are cells of the other."""
-    b = bounds(grids)
-    names = ("crs", "rows", "cols", "dx", "dy", "min_x", "max_y")
-    other = b.select(*[F.col(c).alias(f"o_{c}") for c in ("name", *names)])
-    same = F.lit(True)
-    for c in names:
-        near = F.abs(F.col(c) - F.col(f"o_{c}")) < 1e-9 if c not in ("crs",) else F.col(c) == F.col(f"o_{c}")
-        same = same & near
-    return b.join(other, F.col("name") < F.col("o_name")).select(F.col("name").alias("a"), F.col("o_name").alias("b"), same.alias("same"))
+    """(name, as_name): for every grid the first one, by name, whose cells are its own.  Places and sizes are the same to
+    nine decimals."""
+    cells = bounds(grids)
+    place = [F.round(c, 9) for c in ("dx", "dy", "min_x", "max_y")]
+    return cells.select("name", F.min("name").over(Window.partitionBy("crs", "rows", "cols", *place)).alias("as_name"))
 
 
 def enough(df: DataFrame, value: str, roi: DataFrame, places: list[tuple[float, float]], tile: int, least: int) -> DataFrame:
