@@ -68,6 +68,26 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(rows, model)
 
 
+OP1_SQL = r"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+                      else list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) end as s
+  from words),
+elements as (select doc_id, len(s) as n, unnest(s) as g from sets),
+pairs as (
+  select a.doc_id as x, b.doc_id as y, any_value(a.n) as m, any_value(b.n) as n, count(*) as c
+  from elements a join elements b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+links as (
+  select x, y from pairs where 100 * c >= 90 * (m + n - c) union all select y, x from pairs where 100 * c >= 90 * (m + n - c)),
+reach as (select x, y from links union select r.x, l.y from reach r join links l on r.y = l.x),
+low as (select x, least(x, min(y)) as c from reach group by x)
+select doc_id, cast(len(s) as bigint) as n_shingles, coalesce(low.c, doc_id) as component_id from sets left join low on low.x = doc_id
+"""
+
 #: A row is a document, whatever its doc_id.
 OP3_SQL = r"""
 with numbered as (select row_number() over () as rid, doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
@@ -192,6 +212,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op2_warc": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_mixing": OP4_SQL, "op5_substring_dedup": OP5_SQL,
+        "op1_ngram_jaccard": OP1_SQL, "op2_warc": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_mixing": OP4_SQL, "op5_substring_dedup": OP5_SQL,
         "op9_embedding_dedup": OP9_SQL, "op10_chat_format": OP10_SQL,
     }
