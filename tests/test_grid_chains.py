@@ -70,6 +70,19 @@ def test_warps_keep_a_constant_and_stay_in_the_box(spark, method):
     assert all(r.v is None or r.v == pytest.approx(4) for r in got) and sum(r.v is None for r in got) <= 4
 
 
+@pytest.mark.parametrize("count", [1, 2, 12])
+def test_a_day_with_one_value_takes_the_least_polynomial(spark, count):
+    ref = np.linspace(280, 300, count)
+    coeffs = np.polyfit(np.full(count, 270.0), ref, min(2, count - 1))
+    rows = [(DAY, [270.0], [float(ref.mean())], min(3, count), x) for x in (250.0, 270.0, 291.5)]
+    df = spark.createDataFrame(rows, "d date, tar array<double>, ref array<double>, terms int, x double")
+    got = df.select("x", cdf.mapped(df.x, df.tar, df.ref, df.terms).alias("m")).collect()
+    assert [r.m for r in got] == pytest.approx([float(np.polyval(coeffs, r.x)) for r in got])
+    flat = spark.createDataFrame([(DAY, 270.0, float(v)) for v in np.linspace(280, 300, 50)], "d date, tar double, ref double")
+    k = cdf.knots(flat, n_quantiles=12, least=1).first()
+    assert (k.tar, k.ref, k.terms) == ([270.0], [pytest.approx(290)], 3)
+
+
 def test_warp_rejects_an_unknown_method(spark):
     with pytest.raises(ValueError):
         resample.warp(table(spark, np.ones((2, 2))), "v", resample.Grid.index((2, 2)), resample.Grid.index((4, 4)), "median")

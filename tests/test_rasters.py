@@ -172,3 +172,14 @@ def test_grids_without_a_place_or_system(spark):
     got = {r.name: (r.min_x, r.max_y, r.max_x, r.min_y, r.crs) for r in grids.bounds(table).collect()}
     assert got["a"] == (10, 20, 13, 18, "EPSG:6933") and got["b"] == (-180, 90, 180, -90, "EPSG:4326")
     assert {r.name: r.as_name for r in grids.same_grid(table).collect()} == {"a": "a", "b": "b", "c": "a"}
+
+
+def test_masks_reports_and_codes_for_missing(spark, tmp_path):
+    df = spark.createDataFrame([(DAY, 0, 0, 1.5), (DAY, 0, 1, None), (DAY, 1, 0, 3.0)], "d date, r int, c int, v double")
+    assert sorted(r.v for r in grids.exported(df, "v").collect()) == [-9999.0, 1.5, 3.0]
+    mask = spark.createDataFrame([(0, 0, 5.0), (1, 0, None)], "r int, c int, dem double")
+    assert {(r.r, r.c): r.v for r in grids.masked(df, "v", mask, "dem").collect()} == {(0, 0): 1.5, (0, 1): None, (1, 0): None}
+    grids.write_report(df, f"{tmp_path}/report")
+    assert spark.read.csv(f"{tmp_path}/report", header=True, inferSchema=True).count() == 3
+    assert len(list((tmp_path / "report").glob("part-*"))) == 1
+    assert grids.empty(spark, 3, 4, "v").where("v is null").count() == 12

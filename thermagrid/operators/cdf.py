@@ -47,10 +47,11 @@ def percentiles(df: DataFrame, value: str, wanted: DataFrame, keys: tuple[str, .
 
 
 def knots(pairs: DataFrame, n_quantiles: int | None = None, breakpoints: list[float] | None = None, least: int = 1000) -> DataFrame:
-    """(d, n, tar, ref): for each day with at least ``least`` pairs (d, tar, ref), ascending knots of the map.
+    """(d, n, tar, ref, terms): for each day with at least ``least`` pairs (d, tar, ref), ascending knots of the map.
 
     Either n_quantiles evenly spaced percentiles of both, or the breakpoints of ref strictly inside its range, with its
-    ends, each sent to the percentile of tar at its strict percentile score in ref.  Of equal tar knots the first stays.
+    ends, each sent to the percentile of tar at its strict percentile score in ref.  Of equal tar knots the first stays;
+    where all are equal, one knot with the mean of ref, and in terms how many a polynomial through them has, 3 at most.
     """
     if (n_quantiles is None) == (breakpoints is None):
         raise ValueError("give either n_quantiles or breakpoints")
@@ -70,15 +71,25 @@ def knots(pairs: DataFrame, n_quantiles: int | None = None, breakpoints: list[fl
     lists = days.groupBy("d").agg(F.array_sort(F.collect_list("t")).alias("t"), F.array_sort(F.collect_list("r")).alias("r"))
     zipped = lists.join(ends.select("d", "n"), "d").withColumn("z", F.arrays_zip("t", "r"))
     fresh = F.filter("z", lambda e, i: (i == 0) | (e["t"] > F.get(F.col("z"), F.greatest(i - 1, F.lit(0)))["t"]))
-    return zipped.withColumn("z", fresh).select("d", "n", F.transform("z", lambda e: e["t"]).alias("tar"), F.transform("z", lambda e: e["r"]).alias("ref"))
+    mean = F.aggregate("r", F.lit(0.0), lambda a, x: a + x) / F.size("r")
+    tar, ref = F.transform("z", lambda e: e["t"]), F.transform("z", lambda e: e["r"])
+    ref = F.when(F.size("z") == 1, F.array(mean)).otherwise(ref)
+    return zipped.withColumn("z", fresh).select("d", "n", tar.alias("tar"), ref.alias("ref"), F.least(F.size("t"), F.lit(3)).alias("terms"))
 
 
-def mapped(x: Column, tar: Column, ref: Column) -> Column:
-    """The piecewise linear map at x, its end segments extended; a single knot shifts x to it."""
+def mapped(x: Column, tar: Column, ref: Column, terms: Column | None = None) -> Column:
+    """The piecewise linear map at x, its end segments extended.
+
+    A single knot gives the least polynomial through it, with so many terms of equal size there; without terms, the
+    knot's value."""
     m = F.size(tar)
     i = F.greatest(F.least(F.size(F.filter(tar, lambda t: t <= x)) - 1, m - 2), F.lit(0))
     t0, t1, r0, r1 = F.get(tar, i), F.get(tar, i + 1), F.get(ref, i), F.get(ref, i + 1)
-    return F.when(m >= 2, r0 + (x - t0) * (r1 - r0) / (t1 - t0)).otherwise(r0)
+    alone = r0
+    if terms is not None:
+        share = x / t0
+        alone = r0 / terms * F.when(terms == 1, 1.0).when(terms == 2, 1 + share).otherwise(1 + share + share * share)
+    return F.when(m >= 2, r0 + (x - t0) * (r1 - r0) / (t1 - t0)).otherwise(alone)
 
 
 def corrected(imputed: DataFrame, reference: DataFrame, roi: DataFrame, least: int = 1000, swap: bool = True, **how) -> DataFrame:
@@ -89,7 +100,7 @@ def corrected(imputed: DataFrame, reference: DataFrame, roi: DataFrame, least: i
     pixels = imputed.join(reference, ["d", "r", "c"]).join(roi.where("roi = 1").select("r", "c"), ["r", "c"])
     fit = pixels.where(within(F.col("lst"), "cdf_train") & within(F.col("t"), "cdf_train"))
     found = knots(fit.select("d", F.col("lst").alias("tar"), F.col("t").alias("ref")), least=least, **how)
-    value = mapped(F.col("lst"), F.col("tar"), F.col("ref"))
+    value = mapped(F.col("lst"), F.col("tar"), F.col("ref"), F.col("terms"))
     value = swapped(value, F.col("t")) if swap else value
     rows = pixels.join(F.broadcast(found), "d").select("d", "r", "c", value.alias("lst"))
     return rows.withColumn("lst", F.when(within(F.col("lst"), "cdf_keep"), F.col("lst")))

@@ -311,6 +311,33 @@ def hammer_gather(spark, sf):
     return cells.join(source, ["sr", "sc"]).select("d", "r", "c", "t")
 
 
+@query(
+    f"""select e.d, f.r, f.c, round(e.t, 6) t from (select r, c, cast(round_even((cos({_PHI}) * sin({_LAM} / 2) / {_Z} * 18e6 + 18e6) / 2.41e6, 0) as int) sc,
+          cast(round_even((9e6 - sin({_PHI}) / {_Z} * 9e6) / 1.81e6, 0) as int) sr from static) f
+        join era5 e on e.r = f.sr and e.c = f.sc"""
+)
+def hammer_gather_centres(spark, sf):
+    """The variant that rounds to the nearest centre; beyond the edge, no value."""
+    x, y = projections.hammer_forward(F.col("c") * 24.0, (F.col("r") % 17 - 8) * 10.0)
+    sc = projections.grid_index(x, -18e6, 2.41e6, 15, index="round", outside="null")
+    sr = projections.grid_index(-y, -9e6, 1.81e6, 10, index="round", outside="null")
+    source = derived.era5(spark, sf).select("d", F.col("r").alias("sr"), F.col("c").alias("sc"), "t")
+    return derived.static(spark, sf).select("r", "c", sc.alias("sc"), sr.alias("sr")).join(source, ["sr", "sc"]).select("d", "r", "c", "t")
+
+
+@query("select d, r, c, round(case when lst - 240 > 0 then lst - 240 end, 6) warm, round(case when (lst - 240) / 10 between -1 and 1 then (lst - 240) / 10 end, 6) ndvi from pmw")
+def validity_rules(spark, sf):
+    """Values that must be positive, and vegetation that must lie in its range."""
+    v = F.col("lst") - 240
+    return derived.pmw(spark, sf).select("d", "r", "c", radiometry.positive(v).alias("warm"), radiometry.valid_ndvi(v / 10).alias("ndvi"))
+
+
+@query("select d, r, c, round(coalesce(lst, -9999), 6) lst from dense", more="dense as (select e.d, e.r, e.c, p.lst from era5 e left join pmw p using (d, r, c))")
+def exported_layer(spark, sf):
+    """A dense layer as other software wants it, with a code for missing."""
+    return grids.exported(_dense(spark, sf), "lst")
+
+
 _EASE = "(6371228.0::double * cos(radians(30.0::double)))"
 
 
@@ -544,6 +571,12 @@ def cdf_correct(spark, sf):
     return cdf.corrected(derived.pmw(spark, sf), derived.era5(spark, sf), derived.static(spark, sf), least=LEAST, n_quantiles=12)
 
 
+_EDGES = _FIT + f""",
+ ends as (select d, count(*) n, min(ref) lo, max(ref) hi from fit group by d having count(*) >= {LEAST}),
+ edges as (select distinct d, n, knot from (select d, n, lo knot from ends union all select d, n, hi from ends union all
+   select d, n, b from ends, (values (260.0::double), (310.0::double), (330.0::double)) v(b) where b > lo and b < hi))"""
+
+
 @query(
     """select d, n, cast(row_number() over (partition by d order by knot) - 1 as int) k, round(tar, 6) tar, round(knot, 6) ref from (
          select d, n, knot, quantile tar, row_number() over (partition by d, quantile order by knot) w from (
@@ -551,15 +584,27 @@ def cdf_correct(spark, sf):
              (x[least(cast(floor(p * (z.n - 1)) as int) + 2, z.n)] - x[cast(floor(p * (z.n - 1)) as int) + 1]) quantile
            from (select e.d, e.n, e.knot, count(*) filter (f.ref < e.knot) / count(*)::double p from edges e join fit f using (d) group by e.d, e.n, e.knot) z
            join (select d, list_sort(list(tar)) x from fit group by d) l using (d))) where w = 1""",
-    more=_FIT + f""",
- ends as (select d, count(*) n, min(ref) lo, max(ref) hi from fit group by d having count(*) >= {LEAST}),
- edges as (select distinct d, n, knot from (select d, n, lo knot from ends union all select d, n, hi from ends union all select d, n, b from ends, (values (260.0::double), (310.0::double), (330.0::double)) v(b) where b > lo and b < hi))""",
+    more=_EDGES,
 )
 def cdf_breakpoints(spark, sf):
     found = cdf.knots(_fit(spark, sf), breakpoints=[260, 310, 330], least=LEAST)
     return found.select("d", "n", F.posexplode(F.arrays_zip("tar", "ref")).alias("k", "e")).select("d", "n", "k", "e.tar", "e.ref")
 
 
+@query(
+    f"select d, r, c, round(case when m between 220 and 350 then m end, 6) lst from (select *, {_MAPPED} m from ({_MAP}))",
+    more=_EDGES
+    + """,
+ pos as (select z.d, z.n, z.knot, p * (z.n - 1) as y from (select e.d, e.n, e.knot, count(*) filter (f.ref < e.knot) / count(*)::double p from edges e join fit f using (d) group by e.d, e.n, e.knot) z),
+ lists as (select d, list_sort(list(tar)) x from fit group by d),
+ spots as (select d, n, knot, x[cast(floor(y) as int) + 1] + (y - floor(y)) * (x[least(cast(floor(y) as int) + 2, n)] - x[cast(floor(y) as int) + 1]) as tar from pos join lists using (d)),
+ kn as (select d, n, list(tar order by tar) tar, list(knot order by tar) ref from (select *, row_number() over (partition by d, tar order by knot) w from spots) where w = 1 group by d, n)""",
+)
+def cdf_correct_breakpoints(spark, sf):
+    """The validation variant: knots at breakpoints, and values far off the reference stay."""
+    return cdf.corrected(derived.pmw(spark, sf), derived.era5(spark, sf), derived.static(spark, sf), least=LEAST, swap=False, breakpoints=[260, 310, 330])
+
+
 @query("select d, r, c, round(row_number() over (partition by d order by lst, r, c) / count(*) over (partition by d)::double * 100, 6) p from pmw")
 def ecdf(spark, sf):
     return cdf.empirical(derived.pmw(spark, sf), "lst").select("d", "r", "c", "p")

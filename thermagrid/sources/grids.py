@@ -12,12 +12,13 @@ TILE = 256
 
 
 def listing(spark: SparkSession, folder: str, glob: str = "*", contains: str = "", least_bytes: int = 0) -> DataFrame:
-    """path, name, d and bytes of the files of a folder, without reading them; hidden files are left out."""
+    """path, name, d and bytes of the files of a folder, by path, without reading them; hidden files are left out."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     return (
         found.select("path", name.alias("name"), file_date(F.col("path")).alias("d"), F.col("length").alias("bytes"))
         .where(~F.col("name").startswith(".") & F.col("name").contains(contains) & (F.col("bytes") >= least_bytes))
+        .orderBy("path")
     )
 
 
