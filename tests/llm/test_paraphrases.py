@@ -11,7 +11,9 @@ def accepted(item, text):
     return decontam.judged(item, text) is not None
 
 
-def test_paraphrases_of_all_kinds_are_found(spark):
+@pytest.mark.parametrize("cells", [1 << 22, 0])
+def test_paraphrases_of_all_kinds_are_found(spark, monkeypatch, cells):
+    monkeypatch.setattr(decontam, "TABLE", cells)
     rng = random.Random(11)
     common = ["the", "of", "and", "to", "in", "a", "is", "it", "on", "at", "by", "or"] + [f"com{k}" for k in range(20)]
 

@@ -19,14 +19,17 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, partitions
 from .textkit import FOLDED, Spans, chunks, words
 
-#: Words of a block; a passage is two blocks and starts at every block.
-STEP = 32
+#: Words of a block; a passage that is compared is two blocks and starts at every block; one that the space is learned
+#: from is so many, and they don't overlap.
+STEP, LEARNED = 32, 4
 #: Dimensions of the latent space, and more that the sketch has.
 RANK, EXTRA = 256, 8
 #: Words by frequency whose counts are held densely, and words of the items that one pass over the corpus searches for.
 DENSE, VOCABULARY = 512, 1 << 16
 #: Longer items are looked for by parts of at most so many words: the bits of one integer.
 PART = 64
+#: Cells of the table of places up to which it is held whole.
+TABLE = 1 << 22
 #: Share of an item that a passage must cover in the latent space to be a candidate.
 NEAR = 0.2
 #: Window of the decision, in steps of a fourth of the item; share of an item's words in common order that decides,
@@ -137,12 +140,13 @@ def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, i
             n += b.num_rows
             for _, rows, _, index, at in _hashed(b, lookup):
                 row = np.repeat(np.arange(rows), np.diff(at))
-                held = np.flatnonzero(index >= 0)
-                # a word counts where its document differs from that of its last occurrence
-                order = held[np.argsort(index[held], kind="stable")]
-                fresh = np.ones(len(order), bool)
-                fresh[1:] = (index[order[1:]] != index[order[:-1]]) | (row[order[1:]] != row[order[:-1]])
-                total += np.bincount(index[order[fresh]], minlength=len(vocabulary))
+                step = max(1, (1 << 24) // max(1, len(vocabulary)))
+                for a in range(0, rows, step):
+                    x, y = at[a], at[min(a + step, rows)]
+                    there = np.flatnonzero(index[x:y] >= 0) + x
+                    holds = np.zeros((min(step, rows - a), len(vocabulary)), bool)
+                    holds[row[there] - a, index[there]] = True
+                    total += np.count_nonzero(holds, axis=0)
         full = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(full, -1)), pa.array(np.append(total[full], n))], ["word", "n"])
 
@@ -218,8 +222,8 @@ def _space(docs: DataFrame, items: Items) -> np.ndarray:
                 block, row, first = _blocks(at)
                 if not len(row):
                     continue
-                # passages that don't overlap: two blocks of a row
-                head = (np.arange(len(row)) - first[row]) % 2 == 0
+                # passages that don't overlap: LEARNED blocks of a row
+                head = (np.arange(len(row)) - first[row]) % LEARNED == 0
                 passage = np.cumsum(head) - 1
                 held = np.flatnonzero(index >= 0)
                 counts = _Counts(passage[block[held]], items.feature[index[held]], int(head.sum()), items)
@@ -255,7 +259,8 @@ def _space(docs: DataFrame, items: Items) -> np.ndarray:
 
 
 class _Masks:
-    """For each part of an item and feature, the bits of the places that hold the feature: an open table in numpy."""
+    """For each part of an item and feature, the bits of the places that hold the feature: a whole table, or an open one
+    where that would have more than TABLE cells."""
 
     def __init__(self, parts: list[np.ndarray], features: int):
         self.features = features
@@ -264,6 +269,12 @@ class _Masks:
             for place, feature in enumerate(part.tolist()):
                 key = p * features + feature
                 entries[key] = entries.get(key, 0) | 1 << place
+        self.whole = None
+        if len(parts) * (features + 1) <= TABLE:
+            self.whole = np.zeros((len(parts), features + 1), np.uint64)  # the last for no feature
+            for key, bits in entries.items():
+                self.whole[divmod(key, features)] = bits
+            return
         size = 1 << max(4, (4 * len(entries)).bit_length())
         self.keys, self.bits, self.last = np.full(size, -1), np.zeros(size, np.uint64), size - 1
         for key, bits in entries.items():
@@ -274,6 +285,8 @@ class _Masks:
 
     def of(self, part: np.ndarray, feature: np.ndarray) -> np.ndarray:
         """Bits of features (parts x words, -1 for none) for each part."""
+        if self.whole is not None:
+            return np.take(self.whole.ravel(), (part * (self.features + 1))[:, None] + feature + (feature < 0) * (self.features + 1))
         out = np.zeros(feature.shape, np.uint64)
         row, column = np.nonzero(feature >= 0)
         key = part[row] * self.features + feature[row, column]
@@ -339,7 +352,7 @@ class Search:
             score = counts.times(self.steps[0])
             for step in self.steps[1:]:
                 score = score @ step
-            p, i = np.nonzero(score >= NEAR)
+            p, i = np.divmod(np.flatnonzero(score.ravel() >= NEAR), score.shape[1])
             found.append((row[p + a], p + a - first[row[p + a]], i))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
@@ -377,7 +390,10 @@ class Search:
         over = np.lib.stride_tricks.sliding_window_view(pieces, width // step, axis=1)
         least = size if size < SHORT else LIKELY * size - 1e-9
         # no window has more of the part in common order than it has of its words
-        k, w = np.nonzero(np.bitwise_count(np.bitwise_or.reduce(over, axis=2)) >= least)
+        places = over[:, :, 0].copy()
+        for j in range(1, over.shape[2]):
+            places |= over[:, :, j]
+        k, w = np.nonzero(np.bitwise_count(places) >= least)
 
         def add(i: int, got: tuple[float, float] | None) -> None:
             key = (int(row[i]), int(self.item[part[i]]))
