@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.radiometry import swapped, within
+from ..sources.storage import stored
 
 
 #: Equal bins of a key's range that are ranked apart.
@@ -38,7 +39,7 @@ def empirical(df: DataFrame, value: str, order: tuple[str, ...] = ("r", "c"), ke
 def percentiles(df: DataFrame, value: str, wanted: DataFrame, keys: tuple[str, ...] = ("d",)) -> DataFrame:
     """wanted (keys, k, p from 0 to 1) with q, the linearly interpolated percentile of value there."""
     rows = ranked(df.select(*keys, value), value, keys=keys)
-    spots = F.broadcast(rows.groupBy(*keys).agg(F.first("n").alias("__n")).join(wanted, list(keys)))
+    spots = F.broadcast(df.groupBy(*keys).agg(F.count(value).alias("__n")).join(wanted, list(keys)))
     spot = F.col("p") * (F.col("__n") - 1)
     places = spots.select(*keys, "k", "p", (spot - F.floor(spot)).alias("__part"), F.explode(F.array(F.floor(spot), F.least(F.floor(spot) + 1, F.col("__n") - 1))).alias("rank"))
     met = F.broadcast(places).join(rows.select(*keys, "rank", F.col(value).alias("__v")), [*keys, "rank"])
@@ -55,7 +56,8 @@ def knots(pairs: DataFrame, n_quantiles: int | None = None, breakpoints: list[fl
     """
     if (n_quantiles is None) == (breakpoints is None):
         raise ValueError("give either n_quantiles or breakpoints")
-    both = pairs.where(F.col("tar").isNotNull() & F.col("ref").isNotNull())
+    # read several times over: three columns, written once
+    both = stored("pairs", pairs.select("d", "tar", "ref").where(F.col("tar").isNotNull() & F.col("ref").isNotNull()))
     ends = both.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.min("ref").alias("lo"), F.max("ref").alias("hi")).where(F.col("n") >= least)
     if n_quantiles:
         at = F.array(*[F.lit(i / (n_quantiles - 1)) for i in range(n_quantiles)])
