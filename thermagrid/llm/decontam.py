@@ -37,8 +37,8 @@ NEAR = 0.2
 WIDE, SURE, LIKELY, ANSWER = 7, 0.7, 0.5, 0.6
 #: Words of an item's end that are its answer; items of fewer words than SHORT are found only whole and in a row.
 ANSWER_WORDS, SHORT = 8, 12
-#: Features of the sketch that one row of the exchange holds.
-SLICE = 256
+#: Features of the sketch that one row of the exchange holds, and passages or candidates that are worked on at once.
+SLICE, AT_ONCE = 256, 1 << 11
 
 
 def lcs(a: list[int], b: list[int]) -> int:
@@ -344,8 +344,8 @@ class Search:
         # each block belongs to the passage it begins and to the one before it in its row
         later = np.flatnonzero(spot > first[row[spot]]) if len(spot) else held
         found = [(np.zeros(0, np.int64),) * 3]
-        for a in range(0, len(row), 1 << 13):
-            b = min(a + (1 << 13), len(row))
+        for a in range(0, len(row), AT_ONCE):
+            b = min(a + AT_ONCE, len(row))
             one = slice(*np.searchsorted(spot, (a, b)))
             two = later[slice(*np.searchsorted(spot[later], (a + 1, b + 1)))]
             counts = _Counts(np.concatenate([spot[one], spot[two] - 1]) - a, np.concatenate([feature[one], feature[two]]), b - a, self.items)
@@ -366,8 +366,8 @@ class Search:
             best: dict[tuple[int, int], tuple[float, float, int, int]] = {}
             for size in np.unique(sizes).tolist():
                 some = np.flatnonzero(sizes == size)
-                for a in range(0, len(some), 1 << 12):
-                    self._judge(size, [x[some[a : a + (1 << 12)]] for x in candidates], feature, h, at, sequences, best)
+                for a in range(0, len(some), AT_ONCE):
+                    self._judge(size, [x[some[a : a + AT_ONCE]] for x in candidates], feature, h, at, sequences, best)
             for (row, item), (common, answer, number, part) in best.items():
                 words_ = feature[at[row] + number * STEP : min(at[row + 1], at[row] + (number + 2) * STEP)]
                 passage = self.items.vectors([words_[words_ >= 0]])[0] @ self.space
