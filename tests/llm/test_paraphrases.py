@@ -11,9 +11,11 @@ def accepted(item, text):
     return decontam.judged(item, text) is not None
 
 
-@pytest.mark.parametrize("cells", [1 << 22, 0])
-def test_paraphrases_of_all_kinds_are_found(spark, monkeypatch, cells):
+@pytest.mark.parametrize(("cells", "parts"), [(1 << 22, 1 << 13), (0, 9)])
+def test_paraphrases_of_all_kinds_are_found(spark, monkeypatch, cells, parts):
+    """In one pass by a whole table of places, or in several by open ones."""
     monkeypatch.setattr(decontam, "TABLE", cells)
+    monkeypatch.setattr(decontam, "PARTS", parts)
     rng = random.Random(11)
     common = ["the", "of", "and", "to", "in", "a", "is", "it", "on", "at", "by", "or"] + [f"com{k}" for k in range(20)]
 

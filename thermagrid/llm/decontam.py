@@ -26,8 +26,8 @@ STEP, LEARNED = 32, 4
 RANK, EXTRA = 256, 8
 #: Words by frequency whose counts are held densely, and words of the items that one pass over the corpus searches for.
 DENSE, VOCABULARY = 512, 1 << 16
-#: Longer items are looked for by parts of at most so many words: the bits of one integer.
-PART = 64
+#: Longer items are looked for by parts of at most so many words, the bits of one integer; and parts of one pass.
+PART, PARTS = 64, 1 << 13
 #: Cells of the table of places up to which it is held whole.
 TABLE = 1 << 22
 #: Share of an item that a passage must cover in the latent space to be a candidate.
@@ -422,18 +422,21 @@ class Search:
 
 
 def _searches(docs: DataFrame, benchmark: DataFrame) -> list[Search]:
-    """One for each VOCABULARY distinct words of the benchmark, whose items are a query set that the driver holds."""
+    """One for each VOCABULARY distinct words or PARTS parts of the benchmark, a query set that the driver holds."""
     rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").collect()
     texts = []
     for _, _, data, offsets in chunks(pa.array([r[1] for r in rows], pa.string())):
         starts, ends, at = words(data, offsets)
         texts += np.split(Spans(data, FOLDED).hash(starts, ends), at[1:-1])
     passes: list[tuple[list[int], set[int]]] = []
+    held = 0
     for i, text in enumerate(texts):
         if len(text):
-            own = set(text.tolist())
-            if not passes or len(passes[-1][1] | own) > VOCABULARY:
+            own, parts = set(text.tolist()), -(-len(text) // PART)
+            held += parts
+            if not passes or len(passes[-1][1] | own) > VOCABULARY or held > PARTS:
                 passes.append(([], set()))
+                held = parts
             passes[-1][0].append(i)
             passes[-1][1].update(own)
     found = []
