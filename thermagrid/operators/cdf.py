@@ -13,15 +13,15 @@ from ..sources.storage import stored
 BINS = 64
 
 
-def ranked(df: DataFrame, value: str, order: tuple[str, ...] = (), keys: tuple[str, ...] = ("d",)) -> DataFrame:
+def ranked(df: DataFrame, value: str, order: tuple[str, ...] = (), keys: tuple[str, ...] = ("d",), bins: int = BINS) -> DataFrame:
     """df's rows with a value, with rank (from 0, by value and then ``order``) and n, the number of them, for each key.
 
-    A key's range is cut into BINS equal bins, which are ranked apart and shifted by what the bins below hold, so no
+    A key's range is cut into equal bins, which are ranked apart and shifted by what the bins below hold, so no
     task sorts a whole day unless its values are all alike.  What is joined is a few numbers for each key."""
     there = df.where(F.col(value).isNotNull())
     ends = there.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
     share = (F.col(value) - F.col("__lo")) / F.when(F.col("__hi") > F.col("__lo"), F.col("__hi") - F.col("__lo"))
-    binned = there.join(F.broadcast(ends), list(keys)).withColumn("__bin", F.least(F.floor(F.coalesce(share, F.lit(0.0)) * BINS), F.lit(BINS - 1)).cast("int"))
+    binned = there.join(F.broadcast(ends), list(keys)).withColumn("__bin", F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int"))
     counts = binned.groupBy(*keys, "__bin").agg(F.count(F.lit(1)).alias("__k"))
     whole = Window.partitionBy(*keys)
     below = F.coalesce(F.sum("__k").over(whole.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -36,9 +36,9 @@ def empirical(df: DataFrame, value: str, order: tuple[str, ...] = ("r", "c"), ke
     return ranked(df, value, order, keys).select(*df.columns, ((F.col("rank") + 1) / F.col("n") * 100).alias("p"))
 
 
-def percentiles(df: DataFrame, value: str, wanted: DataFrame, keys: tuple[str, ...] = ("d",)) -> DataFrame:
+def percentiles(df: DataFrame, value: str, wanted: DataFrame, keys: tuple[str, ...] = ("d",), bins: int = BINS) -> DataFrame:
     """wanted (keys, k, p from 0 to 1) with q, the linearly interpolated percentile of value there."""
-    rows = ranked(df.select(*keys, value), value, keys=keys)
+    rows = ranked(df.select(*keys, value), value, keys=keys, bins=bins)
     spots = F.broadcast(df.groupBy(*keys).agg(F.count(value).alias("__n")).join(wanted, list(keys)))
     spot = F.col("p") * (F.col("__n") - 1)
     places = spots.select(*keys, "k", "p", (spot - F.floor(spot)).alias("__part"), F.explode(F.array(F.floor(spot), F.least(F.floor(spot) + 1, F.col("__n") - 1))).alias("rank"))
@@ -47,6 +47,12 @@ def percentiles(df: DataFrame, value: str, wanted: DataFrame, keys: tuple[str, .
     return found.select(*keys, "k", "p", (F.col("__low") + F.col("__part") * (F.col("__high") - F.col("__low"))).alias("q"))
 
 
+def medians(df: DataFrame, value: str, keys: tuple[str, ...] = ("d",), bins: int = BINS) -> DataFrame:
+    """(keys, median) of the keys that have a value."""
+    wanted = df.where(F.col(value).isNotNull()).select(*keys).distinct().select(*keys, F.lit(0).alias("k"), F.lit(0.5).alias("p"))
+    return percentiles(df, value, wanted, keys, bins).select(*keys, F.col("q").alias("median"))
+
+
 def knots(pairs: DataFrame, n_quantiles: int | None = None, breakpoints: list[float] | None = None, least: int = 1000) -> DataFrame:
     """(d, n, tar, ref, terms): for each day with at least ``least`` pairs (d, tar, ref), ascending knots of the map.
 
