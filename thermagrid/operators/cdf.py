@@ -67,9 +67,12 @@ def knots(pairs: DataFrame, n_quantiles: int | None = None, breakpoints: list[fl
     ends = both.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.min("ref").alias("lo"), F.max("ref").alias("hi")).where(F.col("n") >= least)
     if n_quantiles:
         at = F.array(*[F.lit(i / (n_quantiles - 1)) for i in range(n_quantiles)])
-        wanted = ends.select("d", F.posexplode(at).alias("k", "p"))
-        tar = percentiles(both, "tar", wanted).select("d", "k", F.col("q").alias("t"))
-        days = tar.join(percentiles(both, "ref", wanted).select("d", "k", F.col("q").alias("r")), ["d", "k"])
+        # both layers are ranked in one pass, as keys of their own
+        pair = F.explode(F.array(*[F.struct(F.lit(x).alias("of"), F.col(x).alias("v")) for x in ("tar", "ref")])).alias("e")
+        either = F.explode(F.array(F.lit("tar"), F.lit("ref"))).alias("of")
+        wanted = ends.select("d", either).select("d", "of", F.posexplode(at).alias("k", "p"))
+        found = percentiles(both.select("d", pair).select("d", "e.of", "e.v"), "v", wanted, ("d", "of"))
+        days = found.groupBy("d", "k").agg(*[F.max(F.when(F.col("of") == x, F.col("q"))).alias(y) for x, y in (("tar", "t"), ("ref", "r"))])
     else:
         inner = F.array(*[F.lit(float(b)) for b in sorted(breakpoints)])
         spots = F.array_sort(F.array_distinct(F.concat(F.array("lo"), F.filter(inner, lambda b: (b > F.col("lo")) & (b < F.col("hi"))), F.array("hi"))))
