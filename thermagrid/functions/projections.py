@@ -31,10 +31,13 @@ def hammer_forward(lon: Column, lat: Column) -> tuple[Column, Column]:
     return F.cos(lat) * F.sin(lon / 2) / z * HAMMER_X, F.sin(lat) / z * HAMMER_Y
 
 
-def grid_index(value: Column, origin: float, step: float, size: int, index: str = "floor", outside: str = "clamp") -> Column:
-    """Cell of a coordinate.  outside: "clamp" takes the last cell, "null" none."""
+def grid_index(value: Column, origin: float, step: float, size: int | None, index: str = "floor", outside: str = "clamp") -> Column:
+    """Cell of a coordinate.  outside: "clamp" takes the last cell, "null" none.  Without a size no cell is beyond the edge
+    here: the join with the cells that the source has leaves out the others."""
     at = (value - origin) / step
     at = (F.floor(at) if index == "floor" else F.bround(at)).cast("int")
+    if size is None:
+        return at
     beyond = (at < 0) | (at >= size)
     return F.when(beyond, F.lit(size - 1) if outside == "clamp" else F.lit(None).cast("int")).otherwise(at)
 
